@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.readings import ascents, metars, observations
+from ..tables import entity, table
 from .nearest import nearest_few, nearest_in_time
+from .quantiles import build_sketches, merge_sketches, percentiles
 
 SECOND = 1_000_000
 
@@ -21,4 +23,41 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found}
+PROBABILITIES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+
+
+def real(col: str):
+    """A number without what stands for missing: NaN, 9999 of either sign, 1e20 and beyond."""
+    c = F.col(col)
+    return F.when(~F.isnan(c) & (F.abs(c) != 9999) & (F.abs(c) < 1e19), c).alias(col)
+
+
+def station_sketches(spark: SparkSession, folder: str, by_day: bool = False) -> DataFrame:
+    """Sketches of elev and t per station (and day) of station_index."""
+    s = table(spark, folder, "station_index").select(entity("icao").alias("icao"), F.to_date("obstime").alias("day"), real("elev"), real("t"))
+    key = F.concat_ws("|", F.lit("station"), "icao", "day") if by_day else F.concat(F.lit("station|"), F.col("icao"))
+    return build_sketches(s.where("icao is not null"), key, ["elev", "t"])
+
+
+def plane_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of median per model, variable and region of plane_ceiling, for each variable apart as their units differ."""
+    p = table(spark, folder, "plane_ceiling").select("variable", "model", "region", real("median")).where("variable is not null")
+    p = p.select("median", F.explode(F.array(F.concat(F.lit("variable|"), "variable"), F.concat(F.lit("model|"), "model", F.lit("|"), "variable"), F.concat(F.lit("region|"), "region", F.lit("|"), "variable"))).alias("key"))
+    return build_sketches(p, F.col("key"), ["median"])
+
+
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of elev and t per station, and of median per variable, model and region, with bounded relative rank error."""
+    s = station_sketches(spark, folder).unionByName(plane_sketches(spark, folder))
+    return percentiles(merge_sketches(s), PROBABILITIES)
+
+
+def p1_month_from_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of elev and t over all stations of each day, merged again into the whole period (key ``all``)."""
+    s = table(spark, folder, "station_index").select(F.date_format("obstime", "yyyy-MM-dd").alias("day"), real("elev"), real("t"))
+    days = merge_sketches(build_sketches(s, F.col("day"), ["elev", "t"]), salts=16)
+    whole = merge_sketches(days.withColumn("key", F.lit("all")))
+    return percentiles(days.unionByName(whole), PROBABILITIES)
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_month_from_days, p2_found)}
