@@ -30,7 +30,7 @@ def triples(node, repeated: frozenset[str], path: str = "", ordinals: tuple[int,
         if isinstance(value, dict):
             yield from ((a, o, f"{key}.{n}" if n and a == path else n, v) for a, o, n, v in triples(value, repeated, path, ordinals))
         elif isinstance(value, list):
-            inner = f"{path}{key}[]"
+            inner = f"{path}.{key}[]" if path else f"{key}[]"
             for i, item in enumerate(value):
                 at = (*ordinals, i)
                 if isinstance(item, dict):

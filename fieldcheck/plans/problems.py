@@ -13,6 +13,7 @@ from ..operators.spatial import memberships, near_pairs
 from ..operators.spikes import by_source, profile_residuals, spikes_in_series, tail_cutoffs, wrong_in_profiles
 from ..operators.units import unit_history, with_units
 from ..tables import entity, micros, table
+from .problem_sql import ORACLE as ORACLE
 from .readings import metars, observations
 
 DAY = 86_400_000_000
@@ -65,7 +66,7 @@ def p3_converted(spark: SparkSession, folder: str) -> DataFrame:
     f, o = scale_of(F.col("quantity"), F.col("recorded_unit"))
     ft, ot = scale_of(F.col("quantity"), F.col("target"))
     rate = F.when(F.col("recorded_unit").isin(*SUMS) & ~F.col("target").isin(*SUMS), F.col("accum_hours") * 3600.0).otherwise(F.lit(1.0))
-    return r.select("reading_id", "code", "source", "recorded_unit", F.col("target").alias("unit"), (((F.col("number") * f + o) / rate - ot) / ft).alias("value"))
+    return r.select("reading_id", "code", "source", "recorded_unit", F.col("target").alias("unit"), ((((F.col("number") * f + o) / rate) - ot) / ft).alias("value"))
 
 
 def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
