@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.problem_sql import P2
 from ..plans.readings import ascents, metars, observations
 from ..tables import entity, table
 from .nearest import nearest_few, nearest_in_time
@@ -63,3 +64,5 @@ def p1_month_from_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_percentiles, p1_month_from_days, p2_found)}
+
+ORACLE = {"p2_found": P2}
