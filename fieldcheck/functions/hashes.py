@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def crc32c_table() -> np.ndarray:
@@ -41,7 +42,7 @@ def crc32c_of(values: list[bytes | None]) -> list[int | None]:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """CRC-32C of a binary column; null stays null."""
     for s in batches:

@@ -149,6 +149,6 @@ def memberships(points: DataFrame, key: str, lat: str, lon: str, regions: DataFr
     step_x, step_y = 360.0 / 2**DEPTH, 180.0 / 2**DEPTH
     x, y = grid_index(F.col("_lo"), -180.0, step_x, DEPTH), grid_index(F.col("_la"), -90.0, step_y, DEPTH)
     p = points.select(F.col(key).alias("key_a"), F.col(lat).alias("_la"), wrap_lon(F.col(lon)).alias("_lo")).dropna().distinct().withColumn("_code", morton([x, y], DEPTH))
-    r = regions.withColumn("region_no", F.col(region).cast("string"))
+    r = regions.select(F.col(region).cast("string").alias("region_no"), "kind", "west", "east", "south", "north", "clat", "clon", "radius_km", "ring")
     near = range_join(p, "_code", cover_regions(r), "low", "high", 10)
     return near.join(r, "region_no").where(_inside(F.col("_la"), F.col("_lo"))).select("key_a", F.col("region_no").alias("key_b")).distinct()

@@ -98,6 +98,6 @@ def with_units(df: DataFrame, history: DataFrame, source: str, code: str, day: s
 
     The history has one row per source, code and day, so a source with a third of all rows is spread over its days.
     """
-    h = history.select(F.col("source").alias("_s"), F.col("code").alias("_c"), F.col("day").alias("_d"), "resolved")
-    on = F.col(source).eqNullSafe(F.col("_s")) & (F.col(code) == F.col("_c")) & (F.col(day) == F.col("_d")) & F.col(unit).isNull()
-    return df.join(h, on, "left").withColumn("recorded_unit", F.coalesce(unit, "resolved")).drop("_s", "_c", "_d", "resolved")
+    h = history.select(F.col("source").alias("_fc_s"), F.col("code").alias("_fc_c"), F.col("day").alias("_fc_d"), F.col("resolved").alias("_fc_u"))
+    on = F.col(source).eqNullSafe(F.col("_fc_s")) & (F.col(code) == F.col("_fc_c")) & (F.col(day) == F.col("_fc_d")) & F.col(unit).isNull()
+    return df.join(h, on, "left").withColumn("recorded_unit", F.coalesce(unit, "_fc_u")).drop("_fc_s", "_fc_c", "_fc_d", "_fc_u")
