@@ -62,12 +62,13 @@ def normal_sums(y: Column, xs: list[Column]) -> list[Column]:
 
 
 def ols2(df: DataFrame, by: list[str], y: str, x0: str, x1: str, digits: int = 6) -> DataFrame:
-    """``n, b0, b1, b2`` of y = b0 + b1 x0 + b2 x1 by the closed form of the centred normal equations; null if singular."""
+    """``n, b0, b1, b2`` of y = b0 + b1 x0 + b2 x1 by the closed form of the centred normal equations; null where the regressors are all but collinear."""
     s = df.groupBy(*by).agg(*normal_sums(F.col(y), [F.col(x0), F.col(x1)]))
     n = F.col("n")
     c = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / n
     a00, a01, a11, g0, g1 = c("s00", "s0", "s0"), c("s01", "s0", "s1"), c("s11", "s1", "s1"), c("sy0", "sy", "s0"), c("sy1", "sy", "s1")
     det = a00 * a11 - a01 * a01
+    det = F.when(det > 1e-9 * a00 * a11, det)
     b1, b2 = F.try_divide(g0 * a11 - g1 * a01, det), F.try_divide(g1 * a00 - g0 * a01, det)
     b0 = (F.col("sy") - b1 * F.col("s0") - b2 * F.col("s1")) / n
     return s.select(*by, "n", F.round(b0, digits).alias("b0"), F.round(b1, digits).alias("b1"), F.round(b2, digits).alias("b2"))

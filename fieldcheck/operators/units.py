@@ -62,6 +62,9 @@ def unit_history(df: DataFrame, source: str, code: str, quantity: str, day: str,
         F.count(logs).alias("n"), F.avg(logs).alias("m"), F.avg(base).alias("base"), F.count(base).alias("n_base")
     )
 
+    known = daily.where("unit is not null and n_base > 0").groupBy("code").agg((F.sum(F.col("base") * F.col("n_base")) / F.sum("n_base")).alias("base_all"))
+    daily = daily.join(known, "code", "left")
+
     def one(g: pd.DataFrame) -> pd.DataFrame:
         q, g = g["quantity"].iloc[0], g.sort_values("day")
         stated, bare = g[g["unit"].notna()], g[g["unit"].isna()]
@@ -70,7 +73,8 @@ def unit_history(df: DataFrame, source: str, code: str, quantity: str, day: str,
             return pd.DataFrame(columns=cols)
         units = sorted(stated["unit"].unique()) or ([(default or {})[q]] if q in (default or {}) else [u for (p, u) in SCALES if p == q])
         weight = stated["n_base"].to_numpy(float)
-        base = float(np.average(stated["base"].fillna(0), weights=weight)) if weight.sum() > 0 else None
+        base = float(np.average(stated["base"].fillna(0), weights=weight)) if weight.sum() > 0 else g["base_all"].iloc[0]
+        base = None if base is None or math.isnan(base) else base
         seen = bare[bare["n"] > 0]
         starts = segments(seen["m"].to_numpy(float), seen["n"].to_numpy(float), penalty) if len(seen) else []
         number = np.zeros(len(bare), int)

@@ -69,7 +69,7 @@ def fn_cell_edges(spark, folder):
 
 
 @query(OBS + """ select obs_id, round(cos(radians(lat)) * cos(radians(lon)), 9) x, round(cos(radians(lat)) * sin(radians(lon)), 9) y, round(sin(radians(lat)), 9) z,
- round(ws * -sin(radians(wd)), 6) u, round(ws * -cos(radians(wd)), 6) v from good where ws is not null and wd is not null""")
+ round(ws * -sin(radians(wd)), 6) + 0.0 u, round(ws * -cos(radians(wd)), 6) + 0.0 v from good where ws is not null and wd is not null""")
 def fn_unit_vectors(spark, folder):
     """FN-06: unit vectors and wind components."""
     g = good(spark, folder).where("ws is not null and wd is not null")

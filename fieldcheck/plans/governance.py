@@ -57,10 +57,10 @@ def src_byte_ranges(spark, folder):
     return d.select("doc_id", byte_span(F.col("text").cast("binary"), F.lit(0), F.lit(8)).cast("string").alias("head"), (F.length("text") > 8).alias("longer"))
 
 
-@query("select run as collection, item, variable asset, count(*) n, min(median) least from plane_ceiling where variable is not null and item is not null group by all")
+@query("select run as collection, item, variable asset, count(*) n, min(case when not isnan(median) then median end) least from plane_ceiling where variable is not null and item is not null group by all")
 def src_catalogue_assets(spark, folder):
     """SRC-11, SRC-12: items with a map of assets, flattened into asset rows."""
-    p = table(spark, folder, "plane_ceiling").where("variable is not null and item is not null").groupBy("run", "item", "variable").agg(F.struct(F.count("*").alias("n"), F.min("median").alias("least")).alias("v"))
+    p = table(spark, folder, "plane_ceiling").where("variable is not null and item is not null").groupBy("run", "item", "variable").agg(F.struct(F.count("*").alias("n"), F.min(F.when(~F.isnan("median"), F.col("median"))).alias("least")).alias("v"))
     items = p.groupBy("run", "item").agg(F.map_from_entries(F.collect_list(F.struct("variable", "v"))).alias("assets"))  # an item has one asset per variable
     return catalogue_assets(items, F.col("run"), F.col("item"), F.col("assets")).select("collection", "item", "asset", "value.*")
 

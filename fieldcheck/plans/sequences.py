@@ -109,7 +109,7 @@ def agg_zonal_eddy(spark, folder):
 
 @query(FIELD + f""", land as (select distinct row_no, col_no from err), nb as (select l.row_no, l.col_no, count(*) n from land l, (values (-1), (0), (1)) a(dr), (values (-1), (0), (1)) b(dc), land m where m.row_no = l.row_no + dr and m.col_no = (l.col_no + dc + 72) % 72 and not (dr = 0 and dc = 0) group by all),
  k as (select l.*, coalesce(n, 0) < 8 coast from land l left join nb using (row_no, col_no))
- select coast, (floor((lon + 180) / 60))::bigint sector, case when lat < -30 then 0 when lat < 30 then 1 else 2 end band, count(*) n, round(avg(e), 5) bias, round(avg(abs(e)), 5) mae from err join k using (row_no, col_no) group by all""")
+ select coast, (floor((lon + 180) / 60))::bigint sector, case when lat < -30 then 0 when lat < 30 then 1 else 2 end band, count(*) n, round(avg(e), 5) + 0.0 bias, round(avg(abs(e)), 5) mae from err join k using (row_no, col_no) group by all""")
 def agg_coast_sectors(spark, folder):
     """AGG-26: cells with an absent neighbour among eight against the rest, by latitude band and 60-degree sector; columns wrap."""
     e = against_field(spark, folder)
@@ -297,7 +297,7 @@ def win_circular_shift_null(spark, folder):
     return s.join(F.broadcast(o)).agg(F.round(F.max("r0"), 6).alias("observed"), F.count_if(F.col("k") > 0).alias("shifts"), F.round((1 + F.count_if((F.col("k") > 0) & (F.abs("r") >= F.abs("r0")))) / F.count("*"), 6).alias("p"))
 
 
-@query(FIELD + """, l as (select th, avg(((model >= th) <> (t >= 15))::int) loss from err, (values (8.0), (11.0), (13.0), (15.0), (17.0), (20.0)) v(th) group by th), r as (select *, row_number() over (order by th) rung, row_number() over (order by loss, th) best, lag(loss) over (order by th) before from l)
+@query(FIELD + """, l as (select th, avg(((model >= th) <> (t >= 15))::int) loss from err, (values (8.0::double), (11.0::double), (13.0::double), (15.0::double), (17.0::double), (20.0::double)) v(th) group by th), r as (select *, row_number() over (order by th) rung, row_number() over (order by loss, th) best, lag(loss) over (order by th) before from l)
  select max(rung) filter (best = 1) at_rung, max(rung) filter (best = 1) not in (1, count(*)) interior, round(max(loss) filter (best = 2) - max(loss) filter (best = 1), 6) margin, bool_and(before is null or loss >= before) monotone from r""")
 def win_argmin_interior(spark, folder):
     """WIN-18: the best rung of a ladder, whether it lies inside, its margin, and monotony. Six rungs."""

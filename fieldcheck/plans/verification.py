@@ -139,7 +139,7 @@ def band_bias_grouping_sets(spark, folder):
     return g.agg(F.grouping("band").cast("int").alias("is_all"), F.count("e").alias("n"), F.round(F.percentile("e", F.lit(0.5)), 5).alias("median_bias"), F.round(F.avg("e"), 5).alias("mean_bias"), F.round(F.stddev_pop("e"), 5).alias("sd_pop")).withColumn("band", F.coalesce("band", F.lit(-1)))
 
 
-@query(FIELD + """ select row_no, count(e) n, round(median(e), 5) median_bias, round(avg(e), 5) mean_bias, round(avg(abs(e)), 5) mae, round(sqrt(avg(e * e)), 5) rmse, round(stddev_pop(e), 5) sd_pop from err group by row_no""")
+@query(FIELD + """ select row_no, count(e) n, round(median(e), 5) median_bias, round(avg(e), 5) + 0.0 mean_bias, round(avg(abs(e)), 5) mae, round(sqrt(avg(e * e)), 5) rmse, round(stddev_pop(e), 5) sd_pop from err group by row_no""")
 def cell_row_bias(spark, folder):
     """AGG-01: bias summary per grid row with the population sd."""
     return error_summary(against_field(spark, folder), ["row_no"], "e", digits=5)
@@ -205,7 +205,8 @@ def cell_pairs_representativeness(spark, folder):
 @query(PAIRED + """, o as (select d y, abs(de) x0, km x1 from pr where d is not null and de is not null and km is not null),
  s as (select count(*) n, sum(y) sy, sum(x0) s0, sum(x1) s1, sum(x0*x0) s00, sum(x0*x1) s01, sum(x1*x1) s11, sum(x0*y) sy0, sum(x1*y) sy1 from o),
  c as (select *, s00-s0*s0/n a00, s01-s0*s1/n a01, s11-s1*s1/n a11, sy0-sy*s0/n g0, sy1-sy*s1/n g1 from s)
- select n, round((sy - (g0*a11-g1*a01)/(a00*a11-a01*a01)*s0 - (g1*a00-g0*a01)/(a00*a11-a01*a01)*s1)/n, 5) b0, round((g0*a11-g1*a01)/(a00*a11-a01*a01), 5) b1, round((g1*a00-g0*a01)/(a00*a11-a01*a01), 5) b2 from c""")
+, b as (select *, case when a00*a11-a01*a01 > 1e-9*a00*a11 then (g0*a11-g1*a01)/(a00*a11-a01*a01) end b1, case when a00*a11-a01*a01 > 1e-9*a00*a11 then (g1*a00-g0*a01)/(a00*a11-a01*a01) end b2 from c)
+ select n, round((sy - b1*s0 - b2*s1)/n, 5) b0, round(b1, 5) b1, round(b2, 5) b2 from b""")
 def separation_ols2(spark, folder):
     """AGG-16: the difference of a pair regressed on separation in height and distance."""
     p = cell_pairs(spark, folder).select("d", F.abs(F.col("elev_a") - F.col("elev_b")).alias("de"), "km")
@@ -227,7 +228,7 @@ def station_rmse_gated(spark, folder):
     return gated(s, "n", 20, ["rmse"])
 
 
-@query(FIELD + """ select hour_no, count(*) n, round(avg(e), 5) mean, round(median(e), 5) median, round(stddev_pop(e), 5) sd, round(median(abs(e)), 5) median_abs, round(quantile_cont(abs(e), 0.95), 5) p95_abs, round(max(abs(e)), 5) max_abs, round(avg((abs(e) < 1)::int), 5) within_1 from err group by hour_no""")
+@query(FIELD + """ select hour_no, count(*) n, round(avg(e), 5) + 0.0 mean, round(median(e), 5) + 0.0 median, round(stddev_pop(e), 5) sd, round(median(abs(e)), 5) median_abs, round(quantile_cont(abs(e), 0.95), 5) p95_abs, round(max(abs(e)), 5) max_abs, round(avg((abs(e) < 1)::int), 5) within_1 from err group by hour_no""")
 def column_error_stats(spark, folder):
     """AGG-27: signed and absolute statistics of a comparison."""
     e = F.col("e")
@@ -246,14 +247,14 @@ def contingency_shares(spark, folder):
 
 @query(FIELD + """ select th threshold, count(*) filter (model >= th) flagged, count(*) filter (model >= th and t >= 15) hits, count(*) filter (model >= th and t < 15) false_alarms, count(*) filter (model < th and t >= 15) misses,
  round(count(*) filter (model >= th and t >= 15) / nullif(count(*) filter (model >= th), 0), 6) as "precision", round(count(*) filter (model >= th and t >= 15) / nullif(count(*) filter (t >= 15), 0), 6) recall
- from err, (values (0.0), (5.0), (10.0), (15.0), (20.0)) v(th) group by th""")
+ from err, (values (0.0::double), (5.0::double), (10.0::double), (15.0::double), (20.0::double)) v(th) group by th""")
 def warning_threshold_sweep(spark, folder):
     """AGG-13: flagged, hits, false alarms and misses over thresholds."""
     return threshold_sweep(against_field(spark, folder), [], "model", F.col("t") >= 15, [0.0, 5.0, 10.0, 15.0, 20.0])
 
 
 @query(FIELD + """ select th_m model_threshold, th_o obs_threshold, count(*) filter (model >= th_m and t >= th_o) hits, round(count(*) filter (model >= th_m and t >= th_o) / nullif(count(*) filter (t >= th_o), 0), 6) hit_rate
- from err, (values (5.0), (10.0)) a(th_m), (values (5.0), (10.0)) b(th_o) group by all""")
+ from err, (values (5.0::double), (10.0::double)) a(th_m), (values (5.0::double), (10.0::double)) b(th_o) group by all""")
 def both_thresholds_sweep(spark, folder):
     """AGG-13: both thresholds swept."""
     th = lambda n: F.explode(F.array(F.lit(5.0), F.lit(10.0))).alias(n)

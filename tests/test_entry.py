@@ -15,7 +15,7 @@ def plain(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.7g}"
+        return "nan" if math.isnan(v) else f"{v + 0.0:.7g}"
     if isinstance(v, int):
         return f"{float(v):.7g}" if abs(v) < 10**6 else str(v)
     if isinstance(v, (list, tuple)):
