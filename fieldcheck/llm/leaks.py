@@ -96,26 +96,37 @@ def text_hits(texts: DataFrame, key: str, text: str, grams: DataFrame, n: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for batch in batches:
-            ids, sigs, nums, found = [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ws = words(t)
-                if len(ws) < n:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                for w in ws:
-                    if w not in seen:
-                        seen[w] = word_number(w)
-                x = np.fromiter((seen[w] for w in ws), np.int64, len(ws))
-                g = ngrams(x, n)
-                if seeds is not None:
-                    g = g[np.isin(g, seeds, kind="sort")] if len(seeds) else g[:0]
-                if len(g):
-                    ids.append(i)
-                    sigs.append(hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest())
-                    nums.append(x)
-                    found.append(np.unique(g))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.string()), pa.array(nums, kind.field(2).type), pa.array(found, kind.field(3).type)], schema=kind)
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                yield found(part.column(0).to_pylist(), [words(t) for t in part.column(1).to_pylist()], seen)
+
+    def found(doc_ids: list[int], texts_words: list[list[str]], seen: dict[str, int]) -> pa.RecordBatch:
+        """The hits among some texts, whose n-grams are hashed and looked up all at once."""
+        if len(seen) > 500_000:
+            seen.clear()
+        for ws in texts_words:
+            for w in ws:
+                if w not in seen:
+                    seen[w] = word_number(w)
+        ends = np.cumsum([len(ws) for ws in texts_words])
+        x = np.fromiter((seen[w] for ws in texts_words for w in ws), np.int64, int(ends[-1]) if len(ends) else 0)
+        g = ngrams(x, n)
+        doc = np.searchsorted(ends, np.arange(len(g)), "right")
+        ok = np.arange(len(g)) + n <= ends[doc] if len(g) else np.zeros(0, bool)
+        if seeds is not None:
+            at = np.minimum(np.searchsorted(seeds, g), max(len(seeds) - 1, 0))
+            ok &= seeds[at] == g if len(seeds) else False
+        ids, sigs, nums, grams_of = [], [], [], []
+        doc, g = doc[ok], g[ok]
+        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
+        for a, e in zip(edge[:-1], edge[1:], strict=True):
+            k = doc[a]
+            y = x[ends[k] - len(texts_words[k]) : ends[k]]
+            ids.append(doc_ids[k])
+            sigs.append(hashlib.blake2b(y.tobytes(), digest_size=16).hexdigest())
+            nums.append(y)
+            grams_of.append(np.unique(g[a:e]))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.string()), pa.array(nums, kind.field(2).type), pa.array(grams_of, kind.field(3).type)], schema=kind)
 
     hits = texts.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, sig string, numbers array<long>, grams array<long>")
     if small:
