@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Marks that are put where a text was cut.
 MARKS = r"(?:\.\.\.|…|\[more\]|\(more\)|\(truncated\)|\[truncated\]|\[\.\.\.\]|\[…\]|\(\.\.\.\)|\(…\)|read more|\x{FFFD})$"
 # Ends of whole texts, each at the end of the last line.
@@ -83,21 +85,23 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
     token = F.lower(F.regexp_extract(last, r"([\p{L}\p{N}]+)$", 1))
     shape = F.when(F.length(last) <= CLOSING_CHARS, F.regexp_replace(F.regexp_replace(last, r"^[>|\s]+", ""), r",\s*\S+$", ", @"))
     ends = ends.withColumn("token", token).withColumn("shape", shape)
+    for name, pattern in (("mark", MARKS), ("sentence", SENTENCE), ("link", LINK), ("open", OPEN_MARKUP)):
+        ends = ends.withColumn(name, last.rlike(pattern))
+    ends = ends.withColumn("firm", F.col("sentence") | last.rlike(SMILEY) | last.rlike(CLOSED_TAG) | F.regexp_replace(last, TAGS, " ").rlike(LOG_LINE) | last.rlike(TRACKING))
+    ends = ends.withColumn("own", F.coalesce(last.endswith(F.col("author")), F.lit(False))).withColumn("shape", F.when(~F.col("sentence") & ~F.col("mark"), F.col("shape")))
+    ends = written(ends.drop("author", "last"))  # small rows that four aggregates below read
     counts = ends.agg(F.count("*").alias("n_all"))
-    sentence_like = last.rlike(SENTENCE) | last.rlike(MARKS)
-    closing = ends.where(F.col("shape").isNotNull() & ~sentence_like).groupBy("shape").agg(F.count("*").alias("n_shape")).crossJoin(F.broadcast(counts)).where((F.col("n_shape") >= least) & (F.col("n_shape") >= share * F.col("n_all"))).select("shape", F.lit(True).alias("formula"))
+    closing = ends.where(F.col("shape").isNotNull()).groupBy("shape").agg(F.count("*").alias("n_shape")).crossJoin(F.broadcast(counts)).where((F.col("n_shape") >= least) & (F.col("n_shape") >= share * F.col("n_all"))).select("shape", F.lit(True).alias("formula"))
     nodes = trie(known_words(t, "text")).join(ends.select(F.col("token").alias("node")).where("node <> ''").distinct(), "node", "left_semi").select(F.col("node").alias("token"), (F.col("is_word") == 0).alias("word"))
     x = ends.join(closing, "shape", "left").join(nodes, "token", "left").join(length_peaks(ends, "source", "length").select(F.col("source").alias("_s"), F.col("length").alias("_l"), "peak"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_l")), "left")
     word, formula = F.coalesce("word", F.lit(False)), F.coalesce("formula", F.lit(False))
-    own = F.coalesce(last.endswith(F.col("author")), F.lit(False))
-    loose = F.col("signed") | formula | last.rlike(LINK)
-    firm = last.rlike(SENTENCE) | last.rlike(SMILEY) | last.rlike(CLOSED_TAG) | F.regexp_replace(last, TAGS, " ").rlike(LOG_LINE) | last.rlike(TRACKING)
+    loose = F.col("signed") | formula | F.col("link")
     reason = (
         F.when(F.col("blank"), None)
-        .when(last.rlike(MARKS), "mark")
-        .when(firm, None)
-        .when(loose & (own | ~word), None)
-        .when(last.rlike(OPEN_MARKUP) & ~formula, "markup")
+        .when(F.col("mark"), "mark")
+        .when(F.col("firm"), None)
+        .when(loose & (F.col("own") | ~word), None)
+        .when(F.col("open") & ~formula, "markup")
         .when(word, "word")
         .otherwise("sentence")
     )
