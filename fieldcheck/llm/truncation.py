@@ -19,7 +19,7 @@ TRACKING = r"[.!?][\"')]*\s+[a-z0-9]{5,10}$"
 # Markup that is open where the text ends.
 OPEN_MARKUP = r"(?:<[a-zA-Z/!][^<>]*|<|\[/?[a-zA-Z]*(?:=[^\]\s]*)?|&(?:#?[a-zA-Z0-9]{0,8}))$"
 SEPARATOR = r"^(?:--\s?|_{3,}|-{3,}|—+)\s*$"
-TAGS = r"<[^<>]*>|\[/?[a-zA-Z]+(?:=[^\[\]]*)?\]|&(?:nbsp|#160|#xa0|#xA0);"
+TAGS = r"<[^<>]*>|\[/?[a-zA-Z]+(?:=[^\[\]]*)?\]|&(?:[a-zA-Z]+|#[0-9]+|#x[0-9a-fA-F]+);"
 UNSEEN = r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}]"
 #: A final line of at most this many characters may be a closing line.
 CLOSING_CHARS = 60

@@ -93,7 +93,7 @@ SENTENCES = ["The warm balloon drifted over the valley.", "A cold anemometer sto
 
 
 def test_truncation(spark):
-    whole = [" ".join(SENTENCES), "Yes. :)", "See this\nhttp://a.example/img/12.png", "Log\n12:10   11.3  1013.2", "Log\n12:10 [i][/i]  11.3  1013.2", "<p>It was here</p>", "A short quote ...[/quote]\nThe river rose.", "It ended.\n-- \nann | Mk3 logger", "Buy now! 0abh2e", "It ended.\nregards, ann", None, "", "  \n", "雪大。", "Really!!!!!!!!", "He said &quot;no.&quot;"]
+    whole = [" ".join(SENTENCES), "Yes. :)", "See this\nhttp://a.example/img/12.png", "Log\n12:10   11.3  1013.2", "Log\n12:10 [i][/i]  11.3  1013.2", "Log\n12:10   11.3 &quot; 1013.2", "Log\n12:10&amp;   -1.3  <b></b> 1013.2", "<p>It was here</p>", "A short quote ...[/quote]\nThe river rose.", "It ended.\n-- \nann | Mk3 logger", "Buy now! 0abh2e", "It ended.\nregards, ann", None, "", "  \n", "雪大。", "Really!!!!!!!!", "He said &quot;no.&quot;"]
     cut = ["The warm ballo", "The warm balloon drifted over the", "The warm balloon drif...", "The warm balloon… ", "The warm balloon [more]", "The warm ball <b", "The warm ball [url=http", "The warm ball &am", "Log\n12:10   11.3  10", "The warm balloon dr�", "雪大", "See\nhttp://a.exampl", "It ended.\n-- \nann | Mk3 logg", "> -- \n> ann\nThe warm balloon drifted", "The warm balloon drifted over the valley. " * 2000 + "The ane"]
     data = [(i, t, "ann") for i, t in enumerate(whole)] + [(100 + i, t, "ann") for i, t in enumerate(cut)] + [(200 + i, f"{SENTENCES[i % 3]} http://a.example/img/12.png is a Mk3 logger link.", None) for i in range(60)] + [(300 + i, f"{SENTENCES[i % 3]}\nregards, ann{i % 4}", None) for i in range(20)]
     df = spark.createDataFrame(data, "doc_id long, text string, author string").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a")).withColumn("last", F.lit(1)).withColumn("token", F.lit(1)).repartition(3)
