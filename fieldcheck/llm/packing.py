@@ -84,7 +84,7 @@ def sized(texts: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -
 PACKED = "doc_id long, piece int, tokens long, place long, container string, start long, filled long"
 
 
-def _pack(items: DataFrame, capacity: int, tag: str, open_at_once: int) -> DataFrame:
+def _pack(items: DataFrame, capacity: int, tag: str, open_at_once: int, tasks: int) -> DataFrame:
     """Items packed within the tasks of a range-partitioned, sorted table: best fit among a few open containers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,15 +123,15 @@ def _pack(items: DataFrame, capacity: int, tag: str, open_at_once: int) -> DataF
             close(0)
         yield pd.DataFrame(done, columns=["doc_id", "piece", "tokens", "place", "container", "start", "filled"])
 
-    return items.repartitionByRange("place", "doc_id").sortWithinPartitions("place", F.desc("tokens"), "doc_id", "piece").mapInPandas(run, PACKED)
+    return items.repartitionByRange(tasks, "place", "doc_id").sortWithinPartitions("place", F.desc("tokens"), "doc_id", "piece").mapInPandas(run, PACKED)
 
 
-def packed(sizes: DataFrame, capacity: int = 2048, open_at_once: int = 64, enough: float = 0.98) -> DataFrame:
+def packed(sizes: DataFrame, capacity: int = 2048, open_at_once: int = 64, enough: float = 0.98, per_task: int = 1000) -> DataFrame:
     """``doc_id, piece, tokens, container, start``: every item in a container of ``capacity``, neighbours along the curve together.
 
     Items above the capacity are split into full pieces, each a container of its own, and a rest; others are never split. Rests
     and items are range-partitioned by place on the curve and id, so equal items spread over tasks, and packed along
-    it. Containers filled below ``enough``, the last ones of each task among them, are packed once more, in fewer tasks. Items of size 0 take
+    it; the number of tasks follows the total size, so that each packs about ``per_task`` containers. Containers filled below ``enough``, the last ones of each task among them, are packed once more, in fewer tasks. Items of size 0 take
     part and need no space. The names of containers depend on the partitioning; no item is lost or repeated.
     """
     full = F.floor(F.col("tokens") / capacity).cast("int")
@@ -139,9 +139,11 @@ def packed(sizes: DataFrame, capacity: int = 2048, open_at_once: int = 64, enoug
     whole = s.where("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
     whole = whole.select("doc_id", "piece", F.lit(capacity).cast("long").alias("tokens"), F.concat_ws("-", F.lit("w"), "doc_id", "piece").alias("container"), F.lit(0).cast("long").alias("start"))
     rest = s.where((F.col("full") == 0) | (F.col("tokens") % capacity > 0)).select("doc_id", F.col("full").alias("piece"), (F.col("tokens") % capacity).cast("long").alias("tokens"), "place")
-    first = written(_pack(rest, capacity, "a", open_at_once))
+    total = rest.agg(F.sum("tokens")).first()[0] or 0
+    tasks = max(1, round(total / capacity / per_task))
+    first = written(_pack(rest, capacity, "a", open_at_once, tasks))
     good = F.col("filled") >= enough * capacity
-    again = _pack(first.where(~good).select("doc_id", "piece", "tokens", "place"), capacity, "b", 4 * open_at_once)
+    again = _pack(first.where(~good).select("doc_id", "piece", "tokens", "place"), capacity, "b", 4 * open_at_once, max(1, tasks // 16))
     cols = ["doc_id", "piece", "tokens", "container", "start"]
     return whole.unionByName(first.where(good).select(*cols)).unionByName(again.select(*cols))
 
