@@ -97,17 +97,17 @@ def src_container_round_trip(spark, folder):
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(r.sounding_id, r.ascent_no, container.pack([np.asarray(x if x is not None else [], "<i4").tobytes() for x in (r.p, r.t, r.z)])) for r in b.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["sounding_id", "ascent_no", "content"])
+            whole = [[np.asarray(x if x is not None else [], "<i4").tobytes() for x in r] for r in zip(b["p"], b["t"], b["z"], strict=True)]
+            yield pd.DataFrame({"sounding_id": b["sounding_id"], "ascent_no": b["ascent_no"], "content": container.pack_all(whole)})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            spans = [(i, n, k, c[at : at + size], crc) for i, n, c in zip(b["sounding_id"], b["ascent_no"], b["content"], strict=True) for k, (at, size, crc) in enumerate(container.index(c))]
             rows = []
-            for r in b.itertuples(index=False):
-                for k, (at, n, crc) in enumerate(container.index(r.content)):
-                    x = np.frombuffer(container.chunk(r.content[at : at + n], crc), "<i4")
-                    if len(x):
-                        rows.append((r.sounding_id, r.ascent_no, k, len(x), int(x.sum(dtype=np.int64))))
+            for (i, n, k, _, _), c in zip(spans, container.chunks_of([s[3] for s in spans], [s[4] for s in spans]), strict=True):
+                x = np.frombuffer(c, "<i4")
+                if len(x):
+                    rows.append((i, n, k, len(x), int(x.sum(dtype=np.int64))))
             yield pd.DataFrame(rows, columns=["sounding_id", "ascent_no", "chunk_no", "n", "total"])
 
     held = written(a.mapInPandas(make, "sounding_id long, ascent_no int, content binary"))

@@ -21,11 +21,21 @@ def align(n: int) -> int:
     return (n + 7) // 8 * 8
 
 
+def pack_all(items: list[list[bytes]]) -> list[bytes]:
+    """A container for each list of chunks; all checksums are worked out together."""
+    deflate = zstandard.ZstdCompressor().compress
+    z = [[deflate(c) for c in chunks] for chunks in items]
+    sums = iter(crc32c_of([c for cs in z for c in cs]))
+    out = []
+    for cs in z:
+        head = struct.pack(HEAD, MAGIC, len(cs)) + b"".join(struct.pack(ENTRY, len(c), next(sums)) for c in cs)
+        out.append(head.ljust(align(len(head)), b"\0") + b"".join(c.ljust(align(len(c)), b"\0") for c in cs))
+    return out
+
+
 def pack(chunks: list[bytes]) -> bytes:
     """The container of some chunks."""
-    z = [zstandard.ZstdCompressor().compress(c) for c in chunks]
-    head = struct.pack(HEAD, MAGIC, len(z)) + b"".join(struct.pack(ENTRY, len(c), s) for c, s in zip(z, crc32c_of(list(z)), strict=True))
-    return head.ljust(align(len(head)), b"\0") + b"".join(c.ljust(align(len(c)), b"\0") for c in z)
+    return pack_all([chunks])[0]
 
 
 def index(head: bytes) -> list[tuple[int, int, int]]:
@@ -41,11 +51,17 @@ def index(head: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def chunks_of(raws: list[bytes], crcs: list[int]) -> list[bytes]:
+    """The contents of chunks; raises if a checksum differs."""
+    if crc32c_of(list(raws)) != list(crcs):
+        raise ValueError("checksum differs")
+    inflate = zstandard.ZstdDecompressor().decompress
+    return [inflate(r) for r in raws]
+
+
 def chunk(raw: bytes, crc: int) -> bytes:
     """A chunk's content; raises if its checksum differs."""
-    if crc32c_of([raw])[0] != crc:
-        raise ValueError("checksum differs")
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return chunks_of([raw], [crc])[0]
 
 
 def encode_plane(codes: np.ndarray) -> bytes:
