@@ -93,13 +93,12 @@ def number_in(text: Column) -> Column:
     """The first number in a text, with a decimal comma or point; of several marks the last one is decimal."""
     raw = F.regexp_extract(text, NUMBER, 0)
     raw = F.regexp_replace(F.regexp_replace(raw, r"[.,](?=\d+[.,])", ""), ",", ".")
-    return F.when(raw != "", raw.try_cast("double"))
+    return raw.try_cast("double")
 
 
 def unit_after_number(text: Column) -> Column:
     """What follows the first number in a text; null if nothing does."""
-    u = F.trim(F.regexp_extract(text, NUMBER + r"(.*)$", 1))
-    return F.when(u != "", u)
+    return F.nullif(F.trim(F.regexp_extract(text, NUMBER + r"(.*)$", 1)), F.lit(""))
 
 
 def unit_in_note(note: Column, code: Column) -> Column:
@@ -112,7 +111,7 @@ def unit_in_note(note: Column, code: Column) -> Column:
         F.regexp_extract(note, r"^\((.+?)\)\s*$", 1),
         F.when(note.startswith(F.concat(code, F.lit(" in "))), F.regexp_extract(note, r"^\w+ in (.+?)\s*$", 1)).otherwise(""),
     ]
-    return F.coalesce(*[F.when(f != "", f) for f in found])
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
 
 
 def unit_in_remarks(remarks: Column) -> Column:

@@ -30,9 +30,9 @@ def readings_in_units(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     v = v.withColumn("target", spelled(F.col("quantity"), F.col("training_units")))
     r = table(spark, folder, "field_readings").join(F.broadcast(v), "code")  # variables has one row per code, 13 in all
     number = F.coalesce(F.when(~F.isnan("value"), F.col("value")), number_in(F.col("value_text")))
-    r = r.withColumn("number", F.when((number != -9999) & (F.abs(number) < 9e36), number)).where("number is not null")
-    stated = [spelled(F.col("quantity"), x) for x in (F.col("unit"), unit_after_number(F.col("value_text")), unit_in_note(F.col("note"), F.col("code")))]
-    r = r.select("reading_id", "code", "source", "quantity", "target", "number", "accum_hours", (F.floor(micros("valid_time") / DAY)).cast("long").alias("day"), F.coalesce(*stated).alias("stated"))
+    said = F.coalesce("unit", unit_after_number(F.col("value_text")), unit_in_note(F.col("note"), F.col("code")))
+    r = r.withColumn("number", number).withColumn("said", said)  # each worked out once, used below
+    r = r.where("number is not null and number <> -9999 and abs(number) < 9e36").select("reading_id", "code", "source", "quantity", "target", "number", "accum_hours", (F.floor(micros("valid_time") / DAY)).cast("long").alias("day"), spelled(F.col("quantity"), F.col("said")).alias("stated"))
     r = r.withColumn("day", F.coalesce("day", F.lit(-1)))
     history = unit_history(r, "source", "code", "quantity", "day", "number", "stated")
     return with_units(r, history, "source", "code", "day", "stated"), history
