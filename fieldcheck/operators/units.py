@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import UNITS, scale_of
+from ..session import written
 
 SCALES = {(q, u): (f, o) for q, u, f, o, _ in UNITS}
 
@@ -62,6 +63,7 @@ def unit_history(df: DataFrame, source: str, code: str, quantity: str, day: str,
         F.count(logs).alias("n"), F.avg(logs).alias("m"), F.avg(base).alias("base"), F.count(base).alias("n_base")
     )
 
+    daily = written(daily)  # one row per source, code, day and unit, read twice below
     known = daily.where("unit is not null and n_base > 0").groupBy("code").agg((F.sum(F.col("base") * F.col("n_base")) / F.sum("n_base")).alias("base_all"))
     daily = daily.join(known, "code", "left")
 
