@@ -51,7 +51,7 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of elev and t per station, and of median per variable, model and region, with bounded relative rank error."""
     s = station_sketches(spark, folder).unionByName(plane_sketches(spark, folder))
     out = percentiles(merge_sketches(s), PROBABILITIES)
-    part = F.split("key", r"\\|", 2)
+    part = F.split("key", r"\|", 2)
     return out.withColumn("scope", part[0]).withColumn("key", part[1])
 
 
