@@ -23,6 +23,8 @@ WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: More distinct n-grams of passages than this are joined by a shuffle instead of being sent to every task.
 MOST_SENT = 1_000_000
+#: Passages that are compared with a text at once, all of about one length.
+TOGETHER = 50
 
 
 def words(text: str | None) -> list[str]:
@@ -151,13 +153,136 @@ def align(doc: np.ndarray, passage: np.ndarray, match: int = 2, miss: int = 1, g
     return best, longest
 
 
-def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, window: int = 12, n: int = 6) -> DataFrame:
-    """``item_id, doc_id, run, score, share``: text-passage pairs that share a rare seed, aligned.
+def best_scores(doc: np.ndarray, passage: np.ndarray, match: int = 2, miss: int = 1, gap: int = 1) -> np.ndarray:
+    """The scores of ``align`` for many pairs at once: rows of ``doc`` and ``passage``, padded with numbers that equal nothing."""
+    h, at = np.zeros((len(doc), doc.shape[1] + 1), np.int32), gap * np.arange(doc.shape[1], dtype=np.int32)
+    best = np.zeros(len(doc), np.int32)
+    for w in passage.T:
+        e = np.maximum(h[:, :-1] + np.where(doc == w[:, None], np.int32(match), np.int32(-miss)), np.maximum(h[:, 1:] - gap, 0))
+        h[:, 1:] = np.maximum.accumulate(e + at, axis=1) - at
+        np.maximum(best, h.max(1), out=best)
+    return best
+
+
+def common_words(words_at: np.ndarray, lengths: np.ndarray, row: np.ndarray, masks: np.ndarray, owner: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """At least the longest common subsequence of pairs of a text (``row``) and a passage (``item``), bit-parallel over all pairs.
+
+    ``words_at`` has the words of the texts by position and ``masks`` the places of each word in pieces of at most 64 words of
+    passages (``owner``, sorted); the subsequences of a passage's pieces are added, which is never too little.
+    """
+    first = np.searchsorted(owner, item)
+    pieces = np.searchsorted(owner, item, "right") - first
+    pair = np.repeat(np.arange(len(row)), pieces)
+    piece = np.repeat(first - np.cumsum(pieces) + pieces, pieces) + np.arange(len(pair))
+    order = np.argsort(-lengths[row[pair]], kind="stable")
+    pair, piece = pair[order], piece[order]
+    text = row[pair]
+    active = np.searchsorted(-lengths[text], -np.arange(len(words_at)), "left")
+    v = np.full(len(pair), np.iinfo(np.uint64).max, np.uint64)
+    for t, k in enumerate(active):
+        u = v[:k] & masks[words_at[t, text[:k]], piece[:k]]
+        v[:k] = (v[:k] + u) | (v[:k] - u)
+    return np.bincount(pair, np.bitwise_count(~v), len(row))
+
+
+class Searched:
+    """Some passages of about one length, prepared to find every text whose alignment with one reaches ``share`` of a full copy.
+
+    A score of ``share`` needs share * L words of the passage in order, within (3 - 2 * share) * L words of the text: with M equal words and E errors
+    2M - E >= 2 * share * L and M <= L. So overlapping windows of the text are held against the passages, first by the words they have, then by the words
+    they have in order, then aligned. None of these steps can lose a text.
+    """
+
+    def __init__(self, ids: list[int], passages: list[np.ndarray], n_words: int, share: float) -> None:
+        self.ids, self.passages = ids, passages
+        lengths = np.array([len(p) for p in passages])
+        self.need, self.score = share * lengths - 1e-6, 2 * share * lengths - 1e-6
+        longest = int(lengths.max())
+        self.reach, self.step = int(np.ceil((3 - 2 * share) * longest)), max(1, longest // 2)
+        pieces = [(c, p[b : b + 64]) for c, p in enumerate(passages) for b in range(0, len(p), 64)]
+        self.owner = np.array([c for c, _ in pieces])
+        self.masks = np.zeros((n_words + 1, len(pieces)), np.uint64)
+        for q, (_, p) in enumerate(pieces):
+            np.bitwise_or.at(self.masks[:, q], p, np.uint64(1) << np.arange(len(p), dtype=np.uint64))
+        self.counts = np.stack([np.bincount(p, minlength=n_words + 1) for p in passages], 1).astype(np.float32)
+        self.padded = np.full((len(passages), longest), -1, np.int32)
+        for c, p in enumerate(passages):
+            self.padded[c, : len(p)] = p
+
+    def pairs(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(text, passage) positions of all that reach the share. Texts are word positions in the vocabulary of all passages, its size standing for other words."""
+        windows = [(k, x[s : s + self.reach + self.step]) for k, x in enumerate(texts) for s in range(0, max(1, len(x) - self.reach), self.step)]
+        other = len(self.masks) - 1
+        out: set[tuple[int, int]] = set()
+        for begin in range(0, len(windows), 2000):
+            some = windows[begin : begin + 2000]
+            has = np.zeros((len(some), other + 1), np.float32)
+            for r, (_, x) in enumerate(some):
+                has[r, x] = 1
+            row, item = np.nonzero(has @ self.counts >= self.need)
+            if not len(row):
+                continue
+            known = [x[x < other] for _, x in some]
+            lengths = np.array([len(x) for x in known])
+            words_at = np.full((lengths.max(), len(some)), other, np.int32)
+            for r, x in enumerate(known):
+                words_at[: len(x), r] = x
+            ok = common_words(words_at, lengths, row, self.masks, self.owner, item) >= self.need[item]
+            row, item = row[ok], item[ok]
+            for at in range(0, len(row), 500):
+                r, c = row[at : at + 500], item[at : at + 500]
+                doc = np.full((len(r), max(len(some[k][1]) for k in r)), other, np.int32)
+                for k, i in enumerate(r):
+                    doc[k, : len(some[i][1])] = some[i][1]
+                good = best_scores(doc, self.padded[c]) >= self.score[c]
+                out |= {(some[i][0], int(j)) for i, j in zip(r[good], c[good], strict=True)}
+        return out
+
+
+def alike(texts: DataFrame, key: str, text: str, passages: DataFrame, share: float, n: int) -> DataFrame:
+    """``item_id, doc_id, run, score, share`` of every text whose alignment with a passage of at least ``n`` words reaches ``share``, whatever runs are left intact.
+
+    The passages, a table of fixed size, are sent to every task, where texts are read once and nothing is shuffled; texts of equal words are aligned once per 1,000.
+    """
+    rows = sorted(((r.item_id, np.asarray(r.numbers, np.int64)) for r in passages.collect() if len(r.numbers) >= n), key=lambda r: len(r[1]))
+    vocabulary = {w: k for k, w in enumerate(sorted({int(w) for _, p in rows for w in p}))}
+    items = [(i, np.array([vocabulary[int(w)] for w in p], np.int32)) for i, p in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = len(vocabulary)
+        groups = [Searched([i for i, _ in items[g : g + TOGETHER]], [p for _, p in items[g : g + TOGETHER]], other, share) for g in range(0, len(items), TOGETHER)]
+        seen: dict[str, int] = {}
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                if len(seen) > 500_000:
+                    seen.clear()
+                same: dict[bytes, list[int]] = {}
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ws = words(t)
+                    for w in ws:
+                        if w not in seen:
+                            seen[w] = vocabulary.get(word_number(w), other)
+                    same.setdefault(np.array([seen[w] for w in ws], np.int32).tobytes(), []).append(d)
+                bodies, docs, out = [np.frombuffer(x, np.int32) for x in same], list(same.values()), []
+                for g in groups:
+                    for k, c in g.pairs(bodies):
+                        p = g.passages[c]
+                        score, longest = align(bodies[k], p)
+                        out += [(g.ids[c], d, longest, score, score / (2 * len(p))) for d in docs[k]]
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=kind.names), schema=kind, preserve_index=False)
+
+    kind = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int32()), ("score", pa.int32()), ("share", pa.float64())])
+    return texts.select(F.col(key).cast("long"), text).mapInArrow(run, "item_id long, doc_id long, run int, score int, share double")
+
+
+def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, window: int = 12, n: int = 6, least: float | None = None) -> DataFrame:
+    """``item_id, doc_id, run, score, share``: text-passage pairs that share a rare seed, aligned; with ``least`` also all whose ``share`` reaches it, seed or not.
 
     Of each run of ``window`` words of a passage the n-gram that the fewest texts hold is a seed, so every text that
     holds ``window`` consecutive words of a passage holds a seed of it, and common phrases seed nothing where a rarer one stands in the
     window. Texts with a seed are aligned with the passage: ``run`` is the longest run of equal words, ``score`` the local alignment score, ``share`` the
-    score over that of a full copy; edited and paraphrased copies score high with short runs. Texts of the same word sequence are aligned once and each come out.
+    score over that of a full copy; edited and paraphrased copies score high with short runs. Such copies may hold no seed, so they are only whole with ``least``. Texts of the same word sequence are aligned once and each come out.
     Null and empty texts hold nothing; repeated items each come out; passages of fewer than ``n`` words find nothing.
     """
     passages = written(passage_words(items, item, passage))
@@ -180,4 +305,5 @@ def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, p
             yield pd.DataFrame(rows, columns=["item_id", "sig", "run", "score", "share"])
 
     scored = full.select("item_id", "sig", "numbers", "passage").mapInPandas(run, "item_id long, sig string, run int, score int, share double")
-    return scored.join(hits.select("doc_id", "sig"), "sig").select("item_id", "doc_id", "run", "score", "share")
+    seeded = scored.join(hits.select("doc_id", "sig"), "sig").select("item_id", "doc_id", "run", "score", "share")
+    return seeded if least is None else seeded.unionByName(alike(texts, key, text, passages, least, n)).distinct()

@@ -39,8 +39,8 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill(p8_containers(spark, folder), CAPACITY)
 
 
-def leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
+def leaks(spark: SparkSession, folder: str, least: float | None = None) -> DataFrame:
+    return leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage", least=least)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +50,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Posts that hold a passage whole, in part or edited: a run of 12 words, or half the score of a full copy."""
-    return leaks(spark, folder).where("run >= 12 or share >= 0.5").select("item_id", "doc_id", "run", "score", F.round("share", 6).alias("share"))
+    return leaks(spark, folder, 0.5).where("run >= 12 or share >= 0.5").select("item_id", "doc_id", "run", "score", F.round("share", 6).alias("share"))
 
 
 QUERIES = {f.__name__: f for f in (p8_containers, p8_fill, p9_found, p9_leaks, p10_found, p10_shares)}
