@@ -18,6 +18,7 @@ LOG_LINE = r"^[>|\s]*\d{1,2}:\d{2}\s+-?\d+\.\d\s+\d+\.\d$"
 TRACKING = r"[.!?][\"')]*\s+[a-z0-9]{5,10}$"
 # Markup that is open where the text ends.
 OPEN_MARKUP = r"(?:<[a-zA-Z/!][^<>]*|<|\[/?[a-zA-Z]*(?:=[^\]\s]*)?|&(?:#?[a-zA-Z0-9]{0,8}))$"
+NOTICE = r"^\[[^\[\]]+\]$"
 SEPARATOR = r"^(?:--\s?|_{3,}|-{3,}|—+)\s*$"
 TAGS = r"<[^<>]*>|\[/?[a-zA-Z]+(?:=[^\[\]]*)?\]|&(?:[a-zA-Z]+|#[0-9]+|#x[0-9a-fA-F]+);"
 UNSEEN = r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}]"
@@ -58,7 +59,9 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
     """A row per text: ``key, source, length, truncated, reason`` and the evidence ``word`` and ``peak``.
 
     A text is whole if its last line ends in a sentence, smiley, link, log line, closing tag, signature, closing
-    line or tracking code. Closing lines are learned: last lines, a name after a comma taken out, that end the share ``share`` of all texts (and ``least`` texts).
+    line or tracking code. Closing lines are learned: last lines, a name after a comma taken out, that end the share ``share`` of all distinct texts (and ``least`` texts
+    of ``least`` authors; unknown authors count as one per text). Texts are distinct if their words before the last line are, so copies of one post teach nothing; only a text
+    that is nothing but a note in brackets is learned by its rows and authors, as notices of deletion are alike.
     The vocabulary trie decides at the loose ends, where no punctuation shows the end: a final token that is an unknown proper prefix of known
     words means a cut in a closing line, signature or link. Otherwise a text is cut at a mark, in open markup, in a word (the trie's evidence) or in a sentence;
     ``peak`` tells if its length is one that its source has unusually often. Null, empty and blank texts are whole; null sources count as one source.
@@ -77,9 +80,10 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
     mark = lambda i: before(i).startswith(quoted) & unquoted(before(i)).rlike(SEPARATOR)
     short = lambda i: F.length(before(i)).between(1, CLOSING_CHARS)
     signed = F.coalesce(short(0) & (mark(1) | (short(1) & mark(2)) | (short(1) & short(2) & mark(3))), F.lit(False))
+    head = F.regexp_replace(F.lower(F.array_join(F.slice(lines, 1, F.greatest(n - 1, F.lit(0))), " ")), r"[^\p{L}\p{N}]+", " ")
     ends = t.select(
         "key", "source", "author", F.length("text").alias("length"), (F.coalesce(body, F.lit("")) == "").alias("blank"), F.right(last, F.lit(400)).alias("last"),
-        signed.alias("signed"),
+        signed.alias("signed"), F.xxhash64(F.trim(head)).alias("head"), F.coalesce((n == 1) & last.rlike(NOTICE), F.lit(False)).alias("notice"),
     )
     last = F.col("last")
     token = F.lower(F.regexp_extract(last, r"([\p{L}\p{N}]+)$", 1))
@@ -89,9 +93,14 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
         ends = ends.withColumn(name, last.rlike(pattern))
     ends = ends.withColumn("firm", F.col("sentence") | last.rlike(SMILEY) | last.rlike(CLOSED_TAG) | F.regexp_replace(last, TAGS, " ").rlike(LOG_LINE) | last.rlike(TRACKING))
     ends = ends.withColumn("own", F.coalesce(last.endswith(F.col("author")), F.lit(False))).withColumn("shape", F.when(~F.col("sentence") & ~F.col("mark"), F.col("shape")))
-    ends = written(ends.drop("author", "last"))  # small rows that four aggregates below read
-    counts = ends.agg(F.count("*").alias("n_all"))
-    closing = ends.where(F.col("shape").isNotNull()).groupBy("shape").agg(F.count("*").alias("n_shape")).crossJoin(F.broadcast(counts)).where((F.col("n_shape") >= least) & (F.col("n_shape") >= share * F.col("n_all"))).select("shape", F.lit(True).alias("formula"))
+    ends = ends.withColumn("end", F.xxhash64("last")).withColumn("by", F.when(F.col("author").isNotNull(), F.xxhash64("author")).otherwise(F.col("head")))
+    ends = written(ends.drop("author", "last"))  # small rows that the aggregates below read
+    counts = ends.select("head", "end").distinct().agg(F.count("*").alias("n_all"))
+    # One row per distinct text and author, then per author, so that no task holds the texts or authors of a closing line.
+    once = ends.where(F.col("shape").isNotNull()).select("shape", "by", F.when(F.col("notice"), F.xxhash64("key")).otherwise(F.col("head")).alias("head")).distinct()
+    n_texts = once.select("shape", "head").distinct().groupBy("shape").agg(F.count("*").alias("n_shape"))
+    n_authors = once.select("shape", "by").distinct().groupBy("shape").agg(F.count("*").alias("n_by")).where(F.col("n_by") >= least)
+    closing = n_texts.join(n_authors, "shape").crossJoin(F.broadcast(counts)).where((F.col("n_shape") >= least) & (F.col("n_shape") >= share * F.col("n_all"))).select("shape", F.lit(True).alias("formula"))
     nodes = trie(known_words(t, "text")).join(ends.select(F.col("token").alias("node")).where("node <> ''").distinct(), "node", "left_semi").select(F.col("node").alias("token"), (F.col("is_word") == 0).alias("word"))
     x = ends.join(closing, "shape", "left").join(nodes, "token", "left").join(length_peaks(ends, "source", "length").select(F.col("source").alias("_s"), F.col("length").alias("_l"), "peak"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_l")), "left")
     word, formula = F.coalesce("word", F.lit(False)), F.coalesce("formula", F.lit(False))
