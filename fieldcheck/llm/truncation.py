@@ -40,8 +40,8 @@ def known_words(texts: DataFrame, text: str, least: int = 2) -> DataFrame:
     return texts.where(F.col(text).isNotNull()).select(F.explode(inner).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def trie(words: DataFrame, longest: int = 40) -> DataFrame:
-    """``node, word``: every node of the trie of the words (each prefix once), and if it is a word itself."""
+def trie(words: DataFrame, longest: int) -> DataFrame:
+    """``node, word``: every node of the trie of the words (each prefix of at most ``longest`` characters once), and if it is a word itself."""
     n = F.length("word")
     ends = F.explode(F.sequence(F.lit(1), F.least(n, F.lit(longest)))).alias("i")
     return words.select("word", n.alias("len"), ends).groupBy(F.expr("substring(word, 1, i)").alias("node")).agg(F.max((F.col("i") == F.col("len")).cast("int")).alias("is_word"))
@@ -64,7 +64,7 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
     that is nothing but a note in brackets is learned by its rows and authors, as notices of deletion are alike.
     The vocabulary trie decides at the loose ends, where no punctuation shows the end: a final token that is an unknown proper prefix of known
     words means a cut in a closing line, signature or link. Otherwise a text is cut at a mark, in open markup, in a word (the trie's evidence) or in a sentence;
-    ``peak`` tells if its length is one that its source has unusually often. Null, empty and blank texts are whole; null sources count as one source.
+    ``peak`` tells if its length is one that its source has unusually often; it decides nothing, as posts that end in a link, closing line or signature are whole at any length. Null, empty and blank texts are whole; null sources count as one source.
     Texts are read whole for the vocabulary; their ends only need the last line. Joins are on keys that are all but unique,
     tokens and (source, length) are aggregated first.
     """
@@ -82,11 +82,11 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
     signed = F.coalesce(short(0) & (mark(1) | (short(1) & mark(2)) | (short(1) & short(2) & mark(3))), F.lit(False))
     head = F.regexp_replace(F.lower(F.array_join(F.slice(lines, 1, F.greatest(n - 1, F.lit(0))), " ")), r"[^\p{L}\p{N}]+", " ")
     ends = t.select(
-        "key", "source", "author", F.length("text").alias("length"), (F.coalesce(body, F.lit("")) == "").alias("blank"), F.right(last, F.lit(400)).alias("last"),
+        "key", "source", "author", F.length("text").alias("length"), (F.coalesce(body, F.lit("")) == "").alias("blank"), last.alias("last"),
         signed.alias("signed"), F.xxhash64(F.trim(head)).alias("head"), F.coalesce((n == 1) & last.rlike(NOTICE), F.lit(False)).alias("notice"),
     )
     last = F.col("last")
-    token = F.lower(F.regexp_extract(last, r"([\p{L}\p{N}]+)$", 1))
+    token = F.lower(F.regexp_extract(last, r"((?<![\p{L}\p{N}])[\p{L}\p{N}]+)$", 1))
     shape = F.when(F.length(last) <= CLOSING_CHARS, F.regexp_replace(F.regexp_replace(last, r"^[>|\s]+", ""), r",\s*\S+$", ", @"))
     ends = ends.withColumn("token", token).withColumn("shape", shape)
     for name, pattern in (("mark", MARKS), ("sentence", SENTENCE), ("link", LINK), ("open", OPEN_MARKUP)):
@@ -101,7 +101,8 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
     n_texts = once.select("shape", "head").distinct().groupBy("shape").agg(F.count("*").alias("n_shape"))
     n_authors = once.select("shape", "by").distinct().groupBy("shape").agg(F.count("*").alias("n_by")).where(F.col("n_by") >= least)
     closing = n_texts.join(n_authors, "shape").crossJoin(F.broadcast(counts)).where((F.col("n_shape") >= least) & (F.col("n_shape") >= share * F.col("n_all"))).select("shape", F.lit(True).alias("formula"))
-    nodes = trie(known_words(t, "text")).join(ends.select(F.col("token").alias("node")).where("node <> ''").distinct(), "node", "left_semi").select(F.col("node").alias("token"), (F.col("is_word") == 0).alias("word"))
+    longest = ends.agg(F.max(F.length("token"))).first()[0] or 1  # longer prefixes can't be a token
+    nodes = trie(known_words(t, "text"), longest).join(ends.select(F.col("token").alias("node")).where("node <> ''").distinct(), "node", "left_semi").select(F.col("node").alias("token"), (F.col("is_word") == 0).alias("word"))
     x = ends.join(closing, "shape", "left").join(nodes, "token", "left").join(length_peaks(ends, "source", "length").select(F.col("source").alias("_s"), F.col("length").alias("_l"), "peak"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_l")), "left")
     word, formula = F.coalesce("word", F.lit(False)), F.coalesce("formula", F.lit(False))
     loose = F.col("signed") | formula | F.col("link")
