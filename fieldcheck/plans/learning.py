@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.learn import cross_sums, eof, harmonic_labels, harmonics, least_squares, matrix, ridge_ladder, spectrum, surrogate_correlations
@@ -88,27 +90,39 @@ def mat_advection(spark, folder):
     return cross_sums(g, [], features)
 
 
-@query()
-def mat_masked_projection(spark, folder):
-    """MAT-04, AGG-22: regions of a run projected on a quadratic; Gram matrices are built once per identical mask, runs share them."""
-    p = table(spark, folder, "plane_ceiling").where("variable = 'tmp500' and region is not null and median is not null and not isnan(median) and median < 1e19 and median <> -9999")
-    r = p.groupBy("run", "region").agg(F.avg("median").alias("y"))
-    r = r.withColumn("x", F.regexp_extract("region", r"(\d+)", 1).cast("double") / 26 - 1)
-    mask = r.groupBy("run").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("region")), ","), 256).alias("mask"), F.count("*").alias("n"))  # at most 52 regions a run
+def projected(r: DataFrame) -> DataFrame:
+    """``variable, run, mask, runs, n, rank, cond, c0, c1, c2`` from ``variable, run, region, x, y``: each run's y projected on a quadratic in x.
 
-    def features(b: pd.DataFrame):
-        x = b["x"].to_numpy(float)
-        a = np.column_stack([np.ones_like(x), x, x * x])
-        return a, a, np.ones(len(b))
+    The Gram matrix is built and judged once per identical mask (the set of regions of a run), as x depends on the region alone; the sums with y are each run's own.
+    Coefficients are null where the rank falls short or the condition exceeds 1e8.
+    """
+    mask = r.groupBy("variable", "run").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("region")), ","), 256).alias("mask"), F.count("*").alias("n"))  # at most 52 regions a run
+    one = mask.groupBy("mask").agg(F.min(F.struct("variable", "run")).alias("_r"), F.count("*").alias("runs"))
+    quadratic = lambda b: np.vander(b["x"].to_numpy(float), 3, increasing=True)
+    gram = cross_sums(r.join(one.select("mask", "_r.*"), ["variable", "run"]).select("mask", "x"), ["mask"], lambda b: (quadratic(b), quadratic(b), np.ones(len(b))))
+    right = cross_sums(r.select("variable", "run", "x", "y"), ["variable", "run"], lambda b: (quadratic(b), b[["y"]].to_numpy(float), np.ones(len(b))))
+    row = lambda s, by, name: s.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "total"))), lambda e: e["total"]).alias(name))
+    runs = mask.join(one.select("mask", "runs"), "mask").join(row(gram, ["mask"], "gram"), "mask").join(row(right, ["variable", "run"], "right"), ["variable", "run"])
 
-    one = r.join(mask, "run").groupBy("mask").agg(F.min("run").alias("run"), F.countDistinct("run").alias("runs"))
-    gram = cross_sums(r.join(one.select("run", "mask"), "run").select("mask", "x"), ["mask"], features)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            a = np.stack(b["gram"].to_numpy()).astype(float).reshape(-1, 3, 3) if len(b) else np.empty((0, 3, 3))
+            y = np.stack(b["right"].to_numpy()).astype(float) if len(b) else np.empty((0, 3))
+            rank, cond, c = np.linalg.matrix_rank(a), np.linalg.cond(a), np.full((len(b), 3), np.nan)
+            ok = (rank == 3) & (cond <= 1e8)
+            c[ok] = np.linalg.solve(a[ok], y[ok][..., None])[..., 0]
+            yield b[["variable", "run", "mask", "runs", "n"]].assign(rank=rank, cond=cond, c0=c[:, 0], c1=c[:, 1], c2=c[:, 2])
+
+    out = runs.mapInPandas(solve, "variable string, run string, mask string, runs long, n long, rank int, cond double, c0 double, c1 double, c2 double")
+    return out.select("variable", "run", "mask", "runs", "n", "rank", "cond", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("c0", "c1", "c2")))
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        m = matrix(g)
-        return pd.DataFrame({"mask": [g["mask"].iloc[0]], "rank": [int(np.linalg.matrix_rank(m))], "cond": [float(np.linalg.cond(m))]})
 
-    return gram.groupBy("mask").applyInPandas(solve, "mask string, rank int, cond double").join(one, "mask").select("mask", "runs", "rank", "cond")
+@query()
+def mat_masked_projection(spark, folder):
+    """MAT-04, AGG-22, R-19: regions of each run and variable projected on a quadratic; Gram matrices are built once per identical mask, runs share them."""
+    p = table(spark, folder, "plane_ceiling").where("variable is not null and run is not null and region is not null and median is not null and not isnan(median) and median < 1e19 and median <> -9999")
+    r = p.groupBy("variable", F.col("run").cast("string").alias("run"), "region").agg(F.avg("median").alias("y"))
+    return projected(r.withColumn("x", F.regexp_extract("region", r"(\d+)", 1).cast("double") / 26 - 1))
 
 
 DIMS = 8
