@@ -443,6 +443,14 @@ def join_full_outer_hist(spark, folder):
     return a.join(b, "h", "full").select("h", F.coalesce("a", F.lit(0)).alias("purchases"), F.coalesce("b", F.lit(0)).alias("signups"))
 
 
+@query()
+def join_full_outer_hist_all(spark, folder):
+    """JOIN-13: the two histograms over all users; ``join_full_outer_hist`` keeps to some, which its SQL fixes."""
+    e = table(spark, folder, "events").withColumn("h", F.coalesce(F.hour("ts"), F.lit(-1)))
+    a, b = (e.where(F.col("event_type") == k).groupBy("h").agg(F.count("*").alias(k)) for k in ("purchase", "signup"))
+    return a.join(b, "h", "full").select("h", F.coalesce("purchase", F.lit(0)).alias("purchases"), F.coalesce("signup", F.lit(0)).alias("signups"))
+
+
 @query("""select v.code, v.name, count(r.reading_id) n, count(r.reading_id) > 0 present from variables v left join (select * from field_readings where source = 'arcus' and value is not null) r on r.code = v.code group by all""")
 def join_registry_presence(spark, folder):
     """JOIN-12, SRC-17: a registry against what is there."""

@@ -144,6 +144,17 @@ def mat_gram(spark, folder):
     return cross_sums(first_dims(spark, folder), ["label"], features).withColumn("total", F.round("total", 6))
 
 
+@query()
+def mat_gram_all(spark, folder):
+    """MAT-03: Gram matrices per label of all dimensions; ``mat_gram`` keeps to the first 8, which its SQL fixes."""
+
+    def features(b: pd.DataFrame):
+        x = np.stack(b["embedding"].to_numpy()).astype(float)
+        return x, x, np.ones(len(b))
+
+    return cross_sums(table(spark, folder, "embeddings").select("label", "embedding"), ["label"], features).withColumn("total", F.round("total", 6))
+
+
 @query()
 def mat_eof(spark, folder):
     """MAT-06: leading patterns of the embeddings from their 64 by 64 Gram matrix, the only thing that reaches the driver."""
@@ -169,6 +180,23 @@ def mat_quadratic_score(spark, folder):
     return s.select("label", "n", F.round(total, 6).alias("resolved_mse"))
 
 
+@query()
+def mat_quadratic_score_all(spark, folder):
+    """MAT-10: quadratic-form errors d'Gd over all dimensions; ``mat_quadratic_score`` keeps to the first 3, which its SQL fixes."""
+
+    def features(b: pd.DataFrame):
+        z = np.column_stack([np.ones(len(b)), np.stack(b["embedding"].to_numpy()).astype(float)])
+        return z, z, np.ones(len(b))
+
+    def score(g: pd.DataFrame) -> pd.DataFrame:
+        m = matrix(g)
+        n, mean, second = m[0, 0], m[0, 1:] / m[0, 0], m[1:, 1:] / m[0, 0]
+        return pd.DataFrame({"label": [g["label"].iloc[0]], "n": [int(n)], "resolved_mse": [float((second * (second - np.outer(mean, mean))).sum())]})
+
+    e = table(spark, folder, "embeddings").select("label", "embedding")
+    return cross_sums(e, ["label"], features).groupBy("label").applyInPandas(score, f"label {dict(e.dtypes)['label']}, n long, resolved_mse double").withColumn("resolved_mse", F.round("resolved_mse", 6))
+
+
 @query(ANOM + """, p as (select a.code, a.i, a.a x, b.a y from an a join an b on b.code = a.code and b.i = a.i + 1), f as (select code, least(greatest(sum(x * y) / greatest(sum(x * x), 1e-12), -0.98), 0.98) phi from p where i < 47 group by code)
  select code, round(phi, 6) phi, round(1 - avg((y - phi * x) * (y - phi * x)) / avg(y * y), 6) skill from p join f using (code) where i >= 48 group by code, phi""")
 def mat_ar1(spark, folder):
@@ -258,12 +286,12 @@ def mat_spectrum(spark, folder):
 
 @query()
 def mat_significance(spark, folder):
-    """MAT-14: correlations of the first three series with surrogate p-values, bootstrap intervals and Holm's correction."""
+    """MAT-14: correlations of all pairs of series (in the order of their codes) with surrogate p-values, bootstrap intervals and Holm's correction."""
     codes, w = wide(spark, folder)
-    x = w.toPandas()[codes[:3]].to_numpy(float)  # one row per month of the calendar
+    x = w.toPandas()[codes].to_numpy(float)  # one row per month of the calendar
     r = np.corrcoef(x.T)
     draws = surrogate_correlations(spark, x, 999, 20240924)
-    obs = F.array(*[F.lit(float(r[i, j])) for i in range(3) for j in range(i + 1, 3)])[F.col("pair")]
+    obs = F.array(*[F.lit(float(r[i, j])) for i in range(len(codes)) for j in range(i + 1, len(codes))])[F.col("pair")]
     p = draws.groupBy("pair").agg(((1 + F.count_if(F.abs("null_r") >= F.abs(obs))) / (F.count("*") + 1)).alias("p"), F.percentile("boot_r", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     n, rank = F.count("*").over(Window.partitionBy()), F.row_number().over(Window.orderBy("p", "pair"))
     h = p.withColumn("_k", rank).withColumn("_h", (n - F.col("_k") + 1) * F.col("p"))
