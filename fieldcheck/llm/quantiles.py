@@ -8,6 +8,7 @@ any other pieces merge level by level into one with the same bound.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 from collections.abc import Iterator
@@ -16,17 +17,34 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECTIONS = 3
+WORD = (1 << 64) - 1
+
+
+def mixed(x: int) -> int:
+    """A 64-bit number scrambled (the finaliser of SplitMix64, Steele et al. 2014)."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & WORD
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & WORD
+    return x ^ (x >> 31)
 
 
 class Ladder:
-    """Relative compactors that protect the largest items."""
+    """Relative compactors that protect the largest items.
+
+    Each compaction tosses a coin of its own. The coins follow from the seed, so a task that runs again builds the same sketch, but ladders of
+    different seeds, and merged ones, toss independently; else all pieces would err to one side.
+    """
 
-    def __init__(self, k: int):
-        self.k, self.items, self.state, self.sections, self.width = k, [np.empty(0)], [0], [SECTIONS], [float(k)]
+    def __init__(self, k: int, seed: int = 0):
+        self.k, self.items, self.state, self.sections, self.width, self.coin = k, [np.empty(0)], [0], [SECTIONS], [float(k)], mixed(seed & WORD)
+
+    def _toss(self) -> int:
+        self.coin = (self.coin + 0x9E3779B97F4A7C15) & WORD
+        return mixed(self.coin) >> 63
 
     def _room(self, h: int) -> int:
         return 2 * self.sections[h] * self._step(h)
@@ -39,6 +57,7 @@ class Ladder:
         self.compress()
 
     def merge(self, other: Ladder) -> None:
+        self.coin = mixed(self.coin ^ mixed((other.coin + 1) & WORD))
         while len(self.items) < len(other.items):
             self._grow()
         for h, x in enumerate(other.items):
@@ -64,7 +83,7 @@ class Ladder:
                 part = min(self.sections[h], (~self.state[h] & (self.state[h] + 1)).bit_length())
                 keep = self._room(h) // 2 + (self.sections[h] - part) * self._step(h)
                 m = (len(x) - keep) // 2 * 2
-                first = (self.state[h] ^ (h * 0x9E37) ^ (self.state[h] >> 1)) & 1
+                first = self._toss()
                 self.items[h + 1] = np.concatenate([self.items[h + 1], x[first:m:2]])
                 self.items[h] = x[m:]
                 self.state[h] += 1
@@ -79,11 +98,14 @@ class Ladder:
         return x[o], w[o]
 
 
+HEAD = "<HqddQQQHH"
+
+
 class Sketch:
     """Both ladders, the exact count, least and greatest value; while small, just the values."""
 
-    def __init__(self, k: int):
-        self.k, self.n, self.low, self.high, self.raw, self.ladders = k, 0, math.inf, -math.inf, np.empty(0), None
+    def __init__(self, k: int, seed: int = 0):
+        self.k, self.n, self.low, self.high, self.raw, self.ladders, self.seed = k, 0, math.inf, -math.inf, np.empty(0), None, seed & WORD
 
     def add(self, x: np.ndarray) -> None:
         if not len(x):
@@ -98,7 +120,7 @@ class Sketch:
 
     def _lift(self) -> None:
         if self.ladders is None:
-            self.ladders = (Ladder(self.k), Ladder(self.k))
+            self.ladders = (Ladder(self.k, self.seed), Ladder(self.k, self.seed ^ 0x5555555555555555))
             self.ladders[0].add(self.raw)
             self.ladders[1].add(-self.raw)
             self.raw = np.empty(0)
@@ -139,13 +161,14 @@ class Sketch:
     def pack(self) -> bytes:
         levels = [(0, 0, 0.0, self.raw)] if self.ladders is None else [(s, c, w, x) for one in self.ladders for s, c, w, x in zip(one.state, one.sections, one.width, one.items, strict=True)]
         split = 0 if self.ladders is None else len(self.ladders[0].items)
-        head = struct.pack("<HqddHH", self.k, self.n, self.low, self.high, split, len(levels))
+        coins = (0, 0) if self.ladders is None else tuple(one.coin for one in self.ladders)
+        head = struct.pack(HEAD, self.k, self.n, self.low, self.high, self.seed, *coins, split, len(levels))
         return head + b"".join(struct.pack("<qqdI", s, c, w, len(x)) + x.astype("<f8").tobytes() for s, c, w, x in levels)
 
     @staticmethod
     def unpack(b: bytes) -> Sketch:
-        k, n, low, high, split, count = struct.unpack_from("<HqddHH", b)
-        at, out, levels = struct.calcsize("<HqddHH"), Sketch(k), []
+        k, n, low, high, seed, *coins, split, count = struct.unpack_from(HEAD, b)
+        at, out, levels = struct.calcsize(HEAD), Sketch(k, seed), []
         for _ in range(count):
             s, c, w, m = struct.unpack_from("<qqdI", b, at)
             at += struct.calcsize("<qqdI")
@@ -156,7 +179,8 @@ class Sketch:
             out.raw = levels[0][3]
             return out
         out.ladders = (Ladder(k), Ladder(k))
-        for one, part in zip(out.ladders, (levels[:split], levels[split:]), strict=True):
+        for one, part, coin in zip(out.ladders, (levels[:split], levels[split:]), coins, strict=True):
+            one.coin = coin
             one.state, one.sections, one.width, one.items = ([x[i] for x in part] for i in range(4))
         return out
 
@@ -189,6 +213,8 @@ def build_sketches(df: DataFrame, key: Column, fields: list[str], k: int = 64, r
         codes = pc.dictionary_encode(t.column(0)).combine_chunks()
         names = codes.dictionary
         idx = codes.indices.to_numpy(zero_copy_only=False)
+        task = TaskContext.get().partitionId()
+        named = names.to_pylist()
         keys, what, ns, blobs = [], [], [], []
         for f, field in enumerate(fields):
             x = t.column(f + 1).to_numpy()
@@ -198,7 +224,7 @@ def build_sketches(df: DataFrame, key: Column, fields: list[str], k: int = 64, r
             i, v = i[o], v[o]
             edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(1, int)
             for a, e in zip(edge[:-1], edge[1:], strict=True):
-                s = Sketch(k)
+                s = Sketch(k, int.from_bytes(hashlib.blake2b(f"{task}|{piece}|{field}|{named[i[a]]}".encode(), digest_size=8).digest(), "little"))
                 s.add(v[a:e])
                 keys.append(i[a])
                 what.append(field)
@@ -233,11 +259,11 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def merge_sketches(sketches: DataFrame, salts: int = 0) -> DataFrame:
+def merge_sketches(sketches: DataFrame, salts: int = 64) -> DataFrame:
     """One sketch per key and field from the sketches of any pieces: partitions, days, earlier merges.
 
-    The sketches of one key are folded one at a time, so a hot key costs time but no memory. With ``salts``
-    they are first folded in so many groups, each in its own task; worth it for many thousands of partitions.
+    The sketches of one key are first folded in ``salts`` groups, spread over tasks, then these are folded; one sketch is held at
+    a time, so a key that every one of a million tasks has costs each group some thousand merges and no memory.
     """
     s = sketches.select("key", "field", "sketch")
     if salts:

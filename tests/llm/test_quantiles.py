@@ -52,3 +52,19 @@ def test_pieces_combine_to_the_whole(spark):
     whole = percentiles(merge_sketches(days.withColumn("key", F.lit("all"))), [0.001, 0.5, 0.999]).first()
     x = np.sort(np.array([r.v for r in df.select("v").collect()]))
     assert whole.n == len(x) and all(error(x, whole[c], p) < 0.06 for c, p in (("p0_1", 0.001), ("p50", 0.5), ("p99_9", 0.999)))
+
+
+def test_rank_error_holds_after_many_merges():
+    probs = [0.01, 0.05, 0.1, 0.25, 0.4, 0.5, 0.75, 0.9, 0.95, 0.99]
+    off = []
+    for run in range(6):
+        rng = np.random.default_rng(run)
+        x = rng.standard_normal((1500, 400))
+        whole = Sketch(64, run)
+        for i, part in enumerate(x):
+            s = Sketch(64, 10_000 * run + i)
+            s.add(part)
+            whole.merge(Sketch.unpack(s.pack()))
+        x = np.sort(x.ravel())
+        off += [error(x, q, p) / whole.rank_error() for p, q in zip(probs, whole.quantiles(probs), strict=True)]
+    assert np.mean(np.array(off) > 1) <= 0.003
