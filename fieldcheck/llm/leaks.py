@@ -21,19 +21,21 @@ MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|\[/?(?:b|i|u|s|url|img|quote
 UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: More distinct n-grams of passages than this are joined by a shuffle instead of being sent to every task.
-MOST_SENT = 1_000_000
+#: Bits of the filter of passage n-grams that every task gets, whatever their number (8 MB); hits are joined exactly afterwards.
+FILTER_BITS = 26
+#: The rarest n-grams of each window that seed an alignment.
+SEEDS = 3
 #: Passages that are compared with a text at once, all of about one length.
 TOGETHER = 50
 
 
 def words(text: str | None) -> list[str]:
-    """Maximal runs of letters or digits, lower case, after markup, character references, NFKC and unseen characters are dealt with."""
+    """Maximal runs of letters or digits, lower case, after markup (also where its brackets are character references), references, NFKC and unseen characters are dealt with."""
     if not text:
         return []
     t = MARKUP.sub(" ", text)
     if "&" in t:
-        t = html.unescape(t)
+        t = MARKUP.sub(" ", html.unescape(t))
     if not t.isascii():
         t = UNSEEN.sub("", unicodedata.normalize("NFKC", t))
     return WORD.findall(t.lower())
@@ -50,7 +52,7 @@ def ngrams(numbers: np.ndarray, n: int) -> np.ndarray:
     if m <= 0:
         return np.empty(0, np.int64)
     x = numbers.astype(np.uint64)
-    h = np.zeros(m, np.uint64)
+    h = np.full(m, n, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):
             h = h * BASE + x[j : j + m]
@@ -70,39 +72,50 @@ def passage_words(items: DataFrame, key: str, passage: str) -> DataFrame:
 
 
 def passage_grams(passages: DataFrame, n: int, window: int) -> DataFrame:
-    """``item_id, window_no, gram``: for each run of ``window`` words of a passage (or the whole, if shorter), the hashes of its n-grams."""
+    """``item_id, window_no, size, gram``: for each run of ``window`` words of a passage (or the whole, if shorter), the hashes of its n-grams; a passage of fewer than ``n`` words is one gram of its own size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, x in zip(b["item_id"], b["numbers"], strict=True):
-                g = ngrams(np.asarray(x, np.int64), n)
-                reach = min(window, len(x)) - n + 1
-                out += [(i, w, int(v)) for w in range(len(g) - reach + 1) for v in g[w : w + reach]] if reach > 0 else []
-            yield pd.DataFrame(out, columns=["item_id", "window_no", "gram"])
+                size = min(n, len(x))
+                g = ngrams(np.asarray(x, np.int64), size)
+                reach = min(window, len(x)) - size + 1
+                out += [(i, w, size, int(v)) for w in range(len(g) - reach + 1) for v in g[w : w + reach]]
+            yield pd.DataFrame(out, columns=["item_id", "window_no", "size", "gram"])
 
-    return passages.mapInPandas(run, "item_id long, window_no int, gram long")
+    return passages.mapInPandas(run, "item_id long, window_no int, size int, gram long")
 
 
-def text_hits(texts: DataFrame, key: str, text: str, grams: DataFrame, n: int) -> DataFrame:
-    """``doc_id, sig, numbers, grams``: texts that hold any of the n-grams, with their word numbers, those n-grams, and a signature shared by equal word sequences.
+def gram_filter(grams: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The sizes of the grams, and a filter of 2 ** FILTER_BITS bits with the bit of each gram set, as its words that aren't zero and their places.
 
-    The n-grams of the passages are sent to every task if there are at most MOST_SENT of them, which their count shows;
-    beyond that all n-grams of the texts are joined with them by a shuffle.
+    Its size is fixed, so what reaches the driver and the tasks doesn't grow with the passages; with very many of them it lets more n-grams pass to the exact join.
     """
-    sent = grams.select("gram").distinct().limit(MOST_SENT + 1).toPandas()["gram"].to_numpy(np.int64)
-    small = len(sent) <= MOST_SENT
-    seeds = np.sort(sent) if small else None
+    bit = F.pmod("gram", F.lit(1 << FILTER_BITS)).cast("long")
+    w = grams.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(gram, {1 << FILTER_BITS}) % 32 as int)))").alias("bits")).toPandas()
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most n
+    return sizes, w["at"].to_numpy(np.int64), w["bits"].to_numpy(np.int64)
+
+
+def text_hits(texts: DataFrame, key: str, text: str, grams: DataFrame) -> DataFrame:
+    """``doc_id, sig, numbers, grams``: texts that may hold any of the n-grams, with their word numbers, those n-grams, and a signature shared by equal word sequences.
+
+    Texts are read and split into words once; their n-grams are held against a filter of fixed size, so all but a few texts without hit end here. What passes is joined exactly by the caller.
+    """
+    sizes, at, bits = gram_filter(grams)
     kind = pa.schema([("doc_id", pa.int64()), ("sig", pa.string()), ("numbers", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+        held[at] = bits
         seen: dict[str, int] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                yield found(part.column(0).to_pylist(), [words(t) for t in part.column(1).to_pylist()], seen)
+                yield found(part.column(0).to_pylist(), [words(t) for t in part.column(1).to_pylist()], seen, held)
 
-    def found(doc_ids: list[int], texts_words: list[list[str]], seen: dict[str, int]) -> pa.RecordBatch:
+    def found(doc_ids: list[int], texts_words: list[list[str]], seen: dict[str, int], held: np.ndarray) -> pa.RecordBatch:
         """The hits among some texts, whose n-grams are hashed and looked up all at once."""
         if len(seen) > 500_000:
             seen.clear()
@@ -112,14 +125,19 @@ def text_hits(texts: DataFrame, key: str, text: str, grams: DataFrame, n: int) -
                     seen[w] = word_number(w)
         ends = np.cumsum([len(ws) for ws in texts_words])
         x = np.fromiter((seen[w] for ws in texts_words for w in ws), np.int64, int(ends[-1]) if len(ends) else 0)
-        g = ngrams(x, n)
-        doc = np.searchsorted(ends, np.arange(len(g)), "right")
-        ok = np.arange(len(g)) + n <= ends[doc] if len(g) else np.zeros(0, bool)
-        if seeds is not None:
-            at = np.minimum(np.searchsorted(seeds, g), max(len(seeds) - 1, 0))
-            ok &= seeds[at] == g if len(seeds) else False
+        docs, hits = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n in sizes:
+            g = ngrams(x, n)
+            bit = g & ((1 << FILTER_BITS) - 1)
+            ok = np.flatnonzero((held[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)
+            doc = np.searchsorted(ends, ok, "right")
+            inside = ok + n <= ends[doc] if len(ok) else np.zeros(0, bool)
+            docs.append(doc[inside])
+            hits.append(g[ok[inside]])
+        doc, g = np.concatenate(docs), np.concatenate(hits)
+        o = np.argsort(doc, kind="stable")
+        doc, g = doc[o], g[o]
         ids, sigs, nums, grams_of = [], [], [], []
-        doc, g = doc[ok], g[ok]
         edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
         for a, e in zip(edge[:-1], edge[1:], strict=True):
             k = doc[a]
@@ -130,11 +148,7 @@ def text_hits(texts: DataFrame, key: str, text: str, grams: DataFrame, n: int) -
             grams_of.append(np.unique(g[a:e]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.string()), pa.array(nums, kind.field(2).type), pa.array(grams_of, kind.field(3).type)], schema=kind)
 
-    hits = texts.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, sig string, numbers array<long>, grams array<long>")
-    if small:
-        return hits
-    held = hits.select("doc_id", F.explode("grams").alias("gram")).join(grams.select("gram").distinct(), "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    return hits.drop("grams").join(held, "doc_id")
+    return texts.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, sig string, numbers array<long>, grams array<long>")
 
 
 def align(doc: np.ndarray, passage: np.ndarray, match: int = 2, miss: int = 1, gap: int = 1) -> tuple[int, int]:
@@ -276,21 +290,23 @@ def alike(texts: DataFrame, key: str, text: str, passages: DataFrame, share: flo
     return texts.select(F.col(key).cast("long"), text).mapInArrow(run, "item_id long, doc_id long, run int, score int, share double")
 
 
-def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, window: int = 12, n: int = 6, least: float | None = None) -> DataFrame:
+def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, window: int = 12, n: int = 6, least: float | None = None, salts: int = 8) -> DataFrame:
     """``item_id, doc_id, run, score, share``: text-passage pairs that share a rare seed, aligned; with ``least`` also all whose ``share`` reaches it, seed or not.
 
-    Of each run of ``window`` words of a passage the n-gram that the fewest texts hold is a seed, so every text that
-    holds ``window`` consecutive words of a passage holds a seed of it, and common phrases seed nothing where a rarer one stands in the
+    Of each run of ``window`` words of a passage the SEEDS n-grams that the fewest texts hold are seeds, so every text that
+    holds ``window`` consecutive words of a passage holds a seed of it, and common phrases seed nothing where rarer ones stand in the
     window. Texts with a seed are aligned with the passage: ``run`` is the longest run of equal words, ``score`` the local alignment score, ``share`` the
-    score over that of a full copy; edited and paraphrased copies score high with short runs. Such copies may hold no seed, so they are only whole with ``least``. Texts of the same word sequence are aligned once and each come out.
-    Null and empty texts hold nothing; repeated items each come out; passages of fewer than ``n`` words find nothing.
+    score over that of a full copy; edited and paraphrased copies score high with short runs. Such copies may hold no seed, so they are only whole with ``least``.
+    Texts of the same word sequence are aligned once and each come out, spread over ``salts`` tasks. One plan serves every number of passages.
+    Null and empty texts hold nothing; repeated items each come out; a passage of fewer than ``n`` words is found where it stands whole.
     """
     passages = written(passage_words(items, item, passage))
     grams = written(passage_grams(passages, n, window))
-    hits = written(text_hits(texts, key, text, grams, n))
-    held = hits.select("doc_id", "sig", F.explode("grams").alias("gram"))
+    hits = written(text_hits(texts, key, text, grams))
+    held = written(hits.select("doc_id", "sig", F.explode("grams").alias("gram")).join(grams.select("gram").distinct(), "gram"))
     df = held.groupBy("gram").agg(F.count("*").alias("df"))
-    seeds = grams.join(df, "gram", "left").groupBy("item_id", "window_no").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("s")).where("s.df > 0").select("item_id", F.col("s.gram").alias("gram")).distinct()
+    ranked = grams.select("item_id", "window_no", "gram").join(df, "gram").groupBy("item_id", "window_no").agg(F.collect_set(F.struct("df", "gram")).alias("s"))  # at most window - n + 1 grams each
+    seeds = ranked.select("item_id", F.explode(F.slice(F.array_sort("s"), 1, SEEDS)).alias("s")).select("item_id", F.col("s.gram").alias("gram")).distinct()
     pairs = held.select("sig", "gram").distinct().join(seeds, "gram").select("sig", "item_id").distinct()
     bodies = hits.groupBy("sig").agg(F.first("numbers").alias("numbers"))
     full = pairs.join(bodies, "sig").join(passages.withColumnRenamed("numbers", "passage"), "item_id")
@@ -305,5 +321,7 @@ def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, p
             yield pd.DataFrame(rows, columns=["item_id", "sig", "run", "score", "share"])
 
     scored = full.select("item_id", "sig", "numbers", "passage").mapInPandas(run, "item_id long, sig string, run int, score int, share double")
-    seeded = scored.join(hits.select("doc_id", "sig"), "sig").select("item_id", "doc_id", "run", "score", "share")
+    scored = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    posts = hits.select("doc_id", "sig", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    seeded = scored.join(posts, ["sig", "salt"]).select("item_id", "doc_id", "run", "score", "share")
     return seeded if least is None else seeded.unionByName(alike(texts, key, text, passages, least, n)).distinct()
