@@ -49,14 +49,21 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked(a.where("false"), "id", "text", b, "id", "passage").count() == leaks.leaked(a, "id", "text", b.where("false"), "id", "passage").count() == 0
 
 
-def test_leaks_by_shuffle_are_the_same(spark, monkeypatch):
+def test_leaks_with_a_crowded_filter_are_the_same(spark, monkeypatch):
     a = spark.createDataFrame([(i, PASSAGE if i % 3 else "nothing of it in these six words") for i in range(9)], "id long, text string")
     b = spark.createDataFrame([(1, PASSAGE)], "id long, passage string")
     want = sorted(map(tuple, leaks.leaked(a, "id", "text", b, "id", "passage").collect()))
-    monkeypatch.setattr(leaks, "MOST_SENT", 0)
+    monkeypatch.setattr(leaks, "FILTER_BITS", 5)
     assert sorted(map(tuple, leaks.leaked(a, "id", "text", b, "id", "passage").collect())) == want and len(want) == 6
 
 
+def test_short_passages_and_escaped_tags(spark):
+    a = spark.createDataFrame([(1, "it is too short, yes"), (2, "too long"), (3, "quoted: &lt;b&gt;too&lt;/b&gt; short &lt;span class=&quot;x&quot;&gt;now")], "id long, text string")
+    b = spark.createDataFrame([(5, "too short"), (6, "short")], "id long, passage string")
+    got = {(r.item_id, r.doc_id): r.share for r in leaks.leaked(a, "id", "text", b, "id", "passage").collect()}
+    assert got == {(5, 1): 1, (5, 3): 1, (6, 1): 1, (6, 3): 1}
+
+
 def test_hilbert_neighbours():
     n = 8
     p = np.stack(np.meshgrid(*[np.arange(n)] * 3, indexing="ij"), -1).reshape(-1, 3)
@@ -96,6 +103,7 @@ def test_truncation(spark):
     whole = [" ".join(SENTENCES), "Yes. :)", "See this\nhttp://a.example/img/12.png", "Log\n12:10   11.3  1013.2", "Log\n12:10 [i][/i]  11.3  1013.2", "Log\n12:10   11.3 &quot; 1013.2", "Log\n12:10&amp;   -1.3  <b></b> 1013.2", "<p>It was here</p>", "A short quote ...[/quote]\nThe river rose.", "It ended.\n-- \nann | Mk3 logger", "Buy now! 0abh2e", "It ended.\nregards, ann", None, "", "  \n", "雪大。", "Really!!!!!!!!", "He said &quot;no.&quot;"]
     cut = ["The warm ballo", "The warm balloon drifted over the", "The warm balloon drif...", "The warm balloon… ", "The warm balloon [more]", "The warm ball <b", "The warm ball [url=http", "The warm ball &am", "Log\n12:10   11.3  10", "The warm balloon dr�", "雪大", "See\nhttp://a.exampl", "It ended.\n-- \nann | Mk3 logg", "> -- \n> ann\nThe warm balloon drifted", "The warm balloon drifted over the valley. " * 2000 + "The ane"]
     data = [(i, t, "ann") for i, t in enumerate(whole)] + [(100 + i, t, "ann") for i, t in enumerate(cut)] + [(200 + i, f"{SENTENCES[i % 3]} http://a.example/img/12.png is a Mk3 logger link.", None) for i in range(60)] + [(300 + i, f"{SENTENCES[i % 3]}\nregards, ann{i % 4}", None) for i in range(20)]
+    data += [(400 + i, f"{SENTENCES[i % 3]} Log {chr(97 + i)} of mine.\n0{i}:10  -{i}.3   99{i}.2", f"bob{i}") for i in range(6)]  # rows of tables are learned
     df = spark.createDataFrame(data, "doc_id long, text string, author string").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a")).withColumn("last", F.lit(1)).withColumn("token", F.lit(1)).repartition(3)
     got = {r.key: r for r in truncation.cut_texts(df, "doc_id", "text", "source", "author").collect()}
     assert len(got) == len(data)
@@ -114,6 +122,25 @@ def test_length_peaks(spark):
     assert got == {("a", 480)}
 
 
+def test_trie_and_length_decide(spark):
+    body = [f"Reading {chr(97 + i // 26)}{chr(97 + i % 26)} was taken near the river before the balloon." for i in range(60)]
+    data = [(i, t, f"a{i}") for i, t in enumerate(body)]
+    data += [(100, body[0] + " q7zxk2", "b"), (101, body[1] + " river", "b"), (102, body[2] + " riv", "b")]  # a code; a word and the beginning of one
+    data += [(200 + i, (body[i] + " Then the anemo")[:40] + "x" * 30 + " riv", f"c{i}") for i in range(8)]  # 74 characters each, cut
+    data += [(300, "A short note was written.\n-- \nMargaret of the " + "y" * 19 + " river".rjust(9), "d"), (301, "A short note was written.\n-- \nMargaret of the river", "e")]
+    df = spark.createDataFrame(data, "id long, text string, author string").selectExpr("*", "'s' source")
+    assert len(data[-2][1]) == 74
+    got = {r.key: r.reason for r in truncation.cut_texts(df, "id", "text", "source", "author").collect()}
+    assert [got[i] for i in (100, 101, 102)] == [None, "sentence", "word"] and not any(got[i] for i in range(60))
+    assert got[200] == "word" and got[300] == "limit" and got[301] is None
+
+
+def test_a_signature_inside_a_quote_signs_nothing_after_it(spark):
+    data = [(1, "[quote=x]It was cold.\n-- \nann\nA ridge[/quote]\nThe trough is n", "b"), (2, "[quote=x]It was cold.\n-- \nann[/quote]\nIt rose.\n-- \nbob", "bob")]
+    got = {r.key: r.truncated for r in truncation.cut_texts(spark.createDataFrame(data, "id long, text string, author string").selectExpr("*", "'s' source"), "id", "text", "source", "author").collect()}
+    assert got == {1: True, 2: False}
+
+
 @pytest.mark.parametrize("name", ["p9_found", "p10_found"])
 def test_found_rows_are_distinct(spark, data, name):
     df = QUERIES[name](spark, data)
