@@ -13,11 +13,6 @@ ASCENT = """a0 as (select sounding_id, nullif(upper(trim(icao)), '') icao, unnes
  ascent as (select sounding_id, icao, item_no, epoch_us(try_cast(case when regexp_matches(a.time, '^.{16}Z$') then substr(a.time, 1, 16) || ':00Z' else a.time end as timestamptz)) us from a0)"""
 OBSERVED = "o as (select obs_id, nullif(upper(trim(icao)), '') icao, epoch_us(obstime) us from station_index)"
 
-P2 = f"""with {METAR}, {ASCENT}, {OBSERVED},
- x as (select o.obs_id, m.hist_id record_id, m.item_no, row_number() over (partition by o.obs_id order by abs(m.us - o.us), m.us, m.hist_id, m.item_no) rn from o join metar m on m.icao = o.icao and m.us between o.us - 900000000 and o.us + 900000000),
- y as (select o.obs_id, a.sounding_id record_id, a.item_no, row_number() over (partition by a.sounding_id, a.item_no order by abs(o.us - a.us), o.us, o.obs_id) rn from ascent a join o on o.icao = a.icao and o.us between a.us - 2700000000 and a.us + 2700000000)
- select obs_id, 'metar' kind, record_id, item_no from x where rn = 1 union all select obs_id, 'ascent', record_id, item_no from y where rn = 1"""
-
 _words = ", ".join(f"('{q}', '{w}', '{u}')" for q, u, _, _, ws in UNITS for w in ws.split(" "))
 _scales = ", ".join(f"('{q}', '{u}', {f!r}::double, {o!r}::double)" for q, u, f, o, _ in UNITS)
 _quantities = ", ".join(f"('{u}', '{q}')" for u, q in QUANTITY_OF.items())
