@@ -9,6 +9,7 @@ from ..functions.geo import haversine_km
 from ..functions.thermo import decibels, dequantised, humidity_from_dew, humidity_from_rh, mean_flux, normal_share, standard_height, theta_e
 from ..functions.times import parse_time
 from ..operators.joins import classified, corner_weights, prefix_join
+from ..operators.stats import exact_percentiles, with_percentiles
 from ..tables import entity, number, table
 from .readings import ascents
 from .registry import registry
@@ -105,7 +106,8 @@ def fn_standard_height(spark, folder):
 def fn_normal_share(spark, folder):
     """FN-09: probability of a normal within a threshold, per variable of plane_ceiling, from median and sd. DuckDB has no erf; tested against math.erf."""
     p = table(spark, folder, "plane_ceiling").select("variable", number("median").alias("m"), number("sd").alias("s"), number("mean").alias("a")).where("abs(m) < 1e19 and m <> -9999 and s > 0")
-    g = p.groupBy("variable").agg(F.percentile(F.col("m") - F.col("a"), F.lit(0.5)).alias("median"), F.stddev_pop(F.col("m") - F.col("a")).alias("sd"), F.count("*").alias("n"))
+    p = p.select("variable", (F.col("m") - F.col("a")).alias("d"))
+    g = with_percentiles(p.groupBy("variable").agg(F.stddev_pop("d").alias("sd"), F.count("*").alias("n")), exact_percentiles(p, ["variable"], {"median": ("d", 0.5)}), ["variable"])
     return g.select("variable", "n", *(F.round(normal_share(F.col("median"), F.col("sd"), F.col("sd") * k), 6).alias(f"within_{k}") for k in (1, 2)))
 
 

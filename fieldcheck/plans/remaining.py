@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.thermo import humidity_from_dew, theta_e
 from ..functions.units import spelled
-from ..session import shared_folder
+from ..operators.stats import exact_percentiles, with_percentiles
+from ..session import shared_folder, written
 from ..sources import sinks
 from ..sources.records import partial_digest
 from ..tables import table
@@ -19,14 +20,31 @@ from .verification import CELL, FIELD, OBS, against_field, good, with_cell
 QUERIES, ORACLE, query = registry()
 
 
-@query("select reading_id, round(case when unit in ('K', 'kelvin', 'Kelvin', 'degK') then value - 273.15 else value end, 6) celsius from field_readings where code = 'tlo' and unit in ('K', 'kelvin', 'Kelvin', 'degK', 'C', 'celsius', 'degC', 'deg C', '°C') and value is not null and not isnan(value)")
+@query("""select reading_id, round(case when unit in ('K', 'kelvin', 'Kelvin', 'degK') then value - 273.15 else value end, 6) celsius from field_readings where code = 'tlo' and unit in ('K', 'kelvin', 'Kelvin', 'degK', 'C', 'celsius', 'degC', 'deg C', '°C') and value is not null and not isnan(value)""")
 def prj_unit_guard(spark, folder):
-    """PRJ-03: kelvin to Celsius only where the unit says kelvin; a unit that is neither raises."""
+    """PRJ-03: kelvin to Celsius only where the unit says kelvin. Readings in a unit that is neither are quarantined (``prj_unit_quarantine``) first; the guard then raises on any that is left."""
+    r, known = unit_split(spark, folder)
+    return guarded_celsius(r.where(known), "reading_id", "value", "unit")
+
+
+def unit_split(spark, folder):
     r = table(spark, folder, "field_readings").where("code = 'tlo' and value is not null and not isnan(value)")
-    unit = spelled(F.lit("temperature"), F.col("unit"))
-    r = r.where(unit.isin("K", "C"))
-    c = F.when(unit == "K", F.col("value") - 273.15).when(unit == "C", F.col("value")).otherwise(F.raise_error(F.lit("unknown unit")).cast("double"))
-    return r.select("reading_id", F.round(c, 6).alias("celsius"))
+    return r, F.coalesce(spelled(F.lit("temperature"), F.col("unit")).isin("K", "C"), F.lit(False))
+
+
+def guarded_celsius(r, key, value, unit):
+    """``key, celsius`` of readings in kelvin or Celsius; any other unit, null too, raises."""
+    u = spelled(F.lit("temperature"), F.col(unit))
+    c = F.when(u == "K", F.col(value) - 273.15).when(u == "C", F.col(value)).otherwise(F.raise_error(F.concat(F.lit("unknown unit: "), F.coalesce(unit, F.lit("none")))).cast("double"))
+    return r.select(key, F.round(c, 6).alias("celsius"))
+
+
+@query("""select coalesce(unit, '') unit, count(*) n, min(reading_id) first_id from field_readings where code = 'tlo' and value is not null and not isnan(value)
+ and (unit is null or unit not in ('K', 'kelvin', 'Kelvin', 'degK', 'C', 'celsius', 'degC', 'deg C', '°C')) group by 1""")
+def prj_unit_quarantine(spark, folder):
+    """PRJ-03: readings whose unit is neither kelvin nor Celsius, none included, by unit."""
+    r, known = unit_split(spark, folder)
+    return r.where(~known).groupBy(F.coalesce("unit", F.lit("")).alias("unit")).agg(F.count("*").alias("n"), F.min("reading_id").alias("first_id"))
 
 
 @query("""with o as (select hour(obstime) h, t, td, qnh p from station_index where not isnan(t) and t between -60 and 55 and not isnan(td) and td between -70 and 40 and td <= t and qnh between 850 and 1100),
@@ -77,9 +95,10 @@ def agg_amplitude_classifier(spark, folder):
 @query(FIELD + " select hour_no, count(*) n, round(quantile_cont(abs(e), 0.5), 6) p50, round(quantile_cont(abs(e), 0.9), 6) p90, arg_max(obs_id, (abs(e), obs_id)) worst_id from err group by hour_no")
 def ver_error_localisation(spark, folder):
     """R-31, R-30: percentiles of errors and where the worst one is."""
-    e = against_field(spark, folder)
-    p = lambda q: F.round(F.percentile(F.abs("e"), F.lit(q)), 6)
-    return e.groupBy("hour_no").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.max_by("obs_id", F.struct(F.abs("e"), F.col("obs_id"))).alias("worst_id"))
+    e = written(against_field(spark, folder).select("hour_no", F.abs("e").alias("size"), "obs_id"))
+    worst = e.groupBy("hour_no").agg(F.count("*").alias("n"), F.max_by("obs_id", F.struct("size", "obs_id")).alias("worst_id"))
+    p = with_percentiles(worst, exact_percentiles(e, ["hour_no"], {"p50": ("size", 0.5), "p90": ("size", 0.9)}), ["hour_no"])
+    return p.select("hour_no", "n", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), "worst_id")
 
 
 @query("select event_type, count(*) n, count(distinct event_id) ids from events group by event_type")

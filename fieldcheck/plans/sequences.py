@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..operators.grid import axis_weights, components, local_maxima, offset_field, regridded
-from ..operators.stats import banded, guarded_corr, weighted_mean
+from ..operators.stats import banded, exact_percentiles, guarded_corr, weighted_mean, with_percentiles
 from ..operators.windows import detrended, islands, longest_run, neighbours, running_total, seasonal_anomaly, uniform_filter
+from ..session import written
 from ..tables import entity, table
 from .columns import LEVELS, levels
 from .registry import registry
@@ -92,9 +93,10 @@ def agg_mask_groups(spark, folder):
 def agg_model_range(spark, folder):
     """AGG-24, R-04: the range over runs of a model's statistic, with a spread test that can fail."""
     p = table(spark, folder, "plane_ceiling").where("model is not null and variable is not null and not isnan(median) and median < 1e19 and median <> -9999")
-    half = lambda c: F.percentile(c, F.lit(0.5))
-    g = p.groupBy("model", "variable", "run").agg(half("median").alias("m")).groupBy("model", "variable")
-    return g.agg(F.count("*").alias("runs"), F.round(F.min("m"), 4).alias("low"), F.round(F.max("m"), 4).alias("high"), F.round(half("m"), 4).alias("middle"), (F.max("m") - F.min("m") > 5).alias("spread"))
+    by = ["model", "variable"]
+    m = written(exact_percentiles(p, [*by, "run"], {"m": ("median", 0.5)}))
+    g = with_percentiles(m.groupBy(*by).agg(F.count("*").alias("runs"), F.min("m").alias("low"), F.max("m").alias("high")), exact_percentiles(m, by, {"middle": ("m", 0.5)}), by)
+    return g.select(*by, "runs", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("middle", 4).alias("middle"), (F.col("high") - F.col("low") > 5).alias("spread"))
 
 
 @query(OBS + f""", c as (select {CELL}, avg(t) v from good group by all), z as (select row_no, v, avg(v) over (partition by row_no) zonal, cos(radians(87.5 - 5 * row_no)) w from c)
@@ -152,7 +154,9 @@ def agg_inventory_rollup(spark, folder):
 def agg_climatology_by_year(spark, folder):
     """R-02, R-03: mean, maximum, p90 and exceedances per period, and the periods above the overall mean."""
     p = table(spark, folder, "plane_ceiling").where("variable is not null and mean is not null and not isnan(mean)")
-    y = p.groupBy("variable", F.substring("run", 1, 8).alias("d")).agg(F.avg("mean").alias("m"), F.round(F.max("mean"), 4).alias("high"), F.round(F.percentile("mean", F.lit(0.9)), 4).alias("p90"), F.count_if(F.col("vmax") >= F.col("ceiling")).alias("hits"))
+    p, by = p.withColumn("d", F.substring("run", 1, 8)), ["variable", "d"]
+    y = p.groupBy(*by).agg(F.avg("mean").alias("m"), F.round(F.max("mean"), 4).alias("high"), F.count_if(F.col("vmax") >= F.col("ceiling")).alias("hits"))
+    y = with_percentiles(y, exact_percentiles(p, by, {"p90": ("mean", 0.9)}), by).withColumn("p90", F.round("p90", 4))
     return y.select("variable", "d", F.round("m", 4).alias("mean"), "high", "p90", "hits", (F.col("m") > F.avg("m").over(Window.partitionBy("variable"))).alias("above"))
 
 

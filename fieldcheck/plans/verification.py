@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..operators.joins import asof_backward, asof_nearest, interval_join, pairs_in_group
-from ..operators.stats import banded, contingency, error_summary, gated, guarded_corr, index_percentiles, ols2, pooled, threshold_sweep
+from ..operators.stats import banded, contingency, error_summary, exact_percentiles, gated, guarded_corr, index_percentiles, ols2, pooled, threshold_sweep, with_percentiles
+from ..session import written
 from ..tables import entity, number, table
 from .registry import registry
 
@@ -135,8 +136,12 @@ BAND = "case when elev < 100 then 0 when elev < 500 then 1 when elev < 1500 then
 def band_bias_grouping_sets(spark, folder):
     """FLT-04, AGG-01, AGG-32: bias per half-open elevation band and over all."""
     b = against_field(spark, folder).select(banded(F.col("elev"), [100, 500, 1500]), "e").where("band is not null")
+    b = written(b)
     g = b.groupingSets([[F.col("band")], []], F.col("band"))
-    return g.agg(F.grouping("band").cast("int").alias("is_all"), F.count("e").alias("n"), F.round(F.percentile("e", F.lit(0.5)), 5).alias("median_bias"), F.round(F.avg("e"), 5).alias("mean_bias"), F.round(F.stddev_pop("e"), 5).alias("sd_pop")).withColumn("band", F.coalesce("band", F.lit(-1)))
+    g = g.agg(F.grouping("band").cast("int").alias("is_all"), F.count("e").alias("n"), F.round(F.avg("e"), 5).alias("mean_bias"), F.round(F.stddev_pop("e"), 5).alias("sd_pop"))
+    both = b.select(F.inline(F.array(F.struct("band", F.lit(0).alias("is_all")), F.struct(F.lit(None).cast("int").alias("band"), F.lit(1).alias("is_all")))), "e")
+    g = with_percentiles(g, exact_percentiles(both, ["band", "is_all"], {"median_bias": ("e", 0.5)}), ["band", "is_all"])
+    return g.withColumn("median_bias", F.round("median_bias", 5)).withColumn("band", F.coalesce("band", F.lit(-1)))
 
 
 @query(FIELD + """ select row_no, count(e) n, round(median(e), 5) median_bias, round(avg(e), 5) + 0.0 mean_bias, round(avg(abs(e)), 5) mae, round(sqrt(avg(e * e)), 5) rmse, round(stddev_pop(e), 5) sd_pop from err group by row_no""")
@@ -179,8 +184,9 @@ SPREAD = OBS + LAST + f", spread as (select {CELL}, date_trunc('hour', obstime)
 def cell_spread(spark, folder):
     """AGG-07, AGG-05: the spread of t within a cell and hour, and its share over 2 K."""
     s = last_per_hour(spark, folder).groupBy("row_no", "col_no", "hour").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("spread")).where("n >= 2")
-    p = lambda q: F.round(F.percentile("spread", F.lit(q)), 6)
-    return s.agg(F.count("*").alias("cells"), p(0.5).alias("median_spread"), p(0.9).alias("p90"), F.round(F.avg((F.col("spread") > 2).cast("int")), 6).alias("over_2"))
+    s = written(s.select("spread"))
+    one = with_percentiles(s.agg(F.count("*").alias("cells"), F.round(F.avg((F.col("spread") > 2).cast("int")), 6).alias("over_2")), exact_percentiles(s, [], {"median_spread": ("spread", 0.5), "p90": ("spread", 0.9)}), [])
+    return one.select("cells", F.round("median_spread", 6).alias("median_spread"), F.round("p90", 6).alias("p90"), "over_2")
 
 
 PAIRED = OBS + LAST + f""", l as (select {CELL}, date_trunc('hour', obstime) h, icao, lat, lon, t, elev from last),
@@ -232,11 +238,12 @@ def station_rmse_gated(spark, folder):
 def column_error_stats(spark, folder):
     """AGG-27: signed and absolute statistics of a comparison."""
     e = F.col("e")
-    p = lambda x, q: F.round(F.percentile(x, F.lit(q)), 5)
-    return against_field(spark, folder).groupBy("hour_no").agg(
-        F.count("*").alias("n"), F.round(F.avg(e), 5).alias("mean"), p(e, 0.5).alias("median"), F.round(F.stddev_pop(e), 5).alias("sd"), p(F.abs(e), 0.5).alias("median_abs"),
-        p(F.abs(e), 0.95).alias("p95_abs"), F.round(F.max(F.abs(e)), 5).alias("max_abs"), F.round(F.avg((F.abs(e) < 1).cast("int")), 5).alias("within_1"),
+    x = written(against_field(spark, folder).select("hour_no", "e", F.abs("e").alias("size")))
+    sums = x.groupBy("hour_no").agg(
+        F.count("*").alias("n"), F.round(F.avg(e), 5).alias("mean"), F.round(F.stddev_pop(e), 5).alias("sd"), F.round(F.max("size"), 5).alias("max_abs"), F.round(F.avg((F.col("size") < 1).cast("int")), 5).alias("within_1")
     )
+    names = {"median": ("e", 0.5), "median_abs": ("size", 0.5), "p95_abs": ("size", 0.95)}
+    return with_percentiles(sums, exact_percentiles(x, ["hour_no"], names), ["hour_no"]).select(*sums.columns, *(F.round(c, 5).alias(c) for c in names))
 
 
 @query(FIELD + " select row_no, count(*) n, round(avg((model >= 10 and t >= 10)::int), 6) share_both, round(avg((model >= 10 and not t >= 10)::int), 6) share_a_only, round(avg((not model >= 10 and t >= 10)::int), 6) share_b_only, round(sum((model >= 10 and t >= 10)::int) / nullif(sum((t >= 10)::int), 0), 6) hit_rate from err group by row_no")
@@ -323,5 +330,6 @@ def percentiles_index(spark, folder):
 @query("select event_type, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.9), 6) p90, round(quantile_cont(value, 0.95), 6) p95 from events group by event_type")
 def percentiles_linear(spark, folder):
     """AGG-05: interpolated percentiles."""
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return table(spark, folder, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p95"))))
+    names = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+    p = exact_percentiles(table(spark, folder, "events"), ["event_type"], {n: ("value", q) for n, q in names.items()})
+    return p.select("event_type", *(F.round(n, 6).alias(n) for n in names))

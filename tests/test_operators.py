@@ -281,3 +281,30 @@ def test_stream_dedupe_and_split(spark, tmp_path):
     assert rows(flows.appended(flows.deduplicated(stream(spark, p), ["id"], "at", "1 day"), f"{tmp_path}/d").select("id")) == [(1,), (2,)]
     good, bad = flows.split(stream(spark, p), F.col("v") > 0, f"{tmp_path}/g", f"{tmp_path}/b")
     assert good.count() == 3 and rows(bad.select("id")) == [(2,)]
+
+
+@pytest.mark.parametrize("few", [50_000, 50, 1])
+def test_exact_percentiles(spark, few):
+    rng = np.random.default_rng(1)
+    data = [(k, float(v)) for k in ("a", None, "b") for v in np.r_[rng.standard_normal(3000) * 10.0 ** rng.integers(-8, 8, 3000), np.zeros(500), -np.ones(200)]]
+    df = spark.createDataFrame([*data, ("c", None), ("d", float("nan")), ("e", 5.0)], "k string, v double").withColumn("g", F.lit(1)).withColumn("b", F.lit("clash"))
+    shares = {"p1": 0.01, "p50": 0.5, "p99": 0.99, "least": 0.0, "most": 1.0}
+    got = {r.k: r for r in stats.exact_percentiles(df, ["k"], {n: ("v", s) for n, s in shares.items()}, few=few).collect()}
+    assert set(got) == {"a", "b", None, "e"} and got["e"].p1 == got["e"].most == 5.0
+    for k in ("a", None, "b"):
+        x = np.array([v for g, v in data if g == k])
+        assert all(np.isclose(got[k][n], np.quantile(x, s), rtol=1e-12, atol=0) for n, s in shares.items())
+        at = {r.k: r.p for r in stats.exact_percentiles(df, ["k"], {"p": ("v", 0.9)}, index=True, few=few).collect()}
+        assert at[k] == np.sort(x)[int(len(x) * 0.9)]
+    assert stats.exact_percentiles(df.where("false"), ["k"], {"p": ("v", 0.5)}).count() == 0
+    twice = df.unionByName(df)
+    assert stats.exact_percentiles(twice, ["k"], {"p": ("v", 0.3)}).where("k = 'a'").first() == stats.exact_percentiles(df.withColumn("w", F.lit(2)), ["k"], {"p": ("v", 0.3)}, weight="w").where("k = 'a'").first()
+
+
+def test_unit_guard_raises(spark):
+    from fieldcheck.plans.remaining import guarded_celsius
+
+    df = spark.createDataFrame([(1, 300.0, "K"), (2, 20.0, "deg C")], "id long, v double, u string")
+    assert rows(guarded_celsius(df, "id", "v", "u")) == [(1, 26.85), (2, 20.0)]
+    with pytest.raises(Exception, match="unknown unit"):
+        guarded_celsius(df.unionByName(spark.createDataFrame([(3, 70.0, "F")], df.schema)), "id", "v", "u").collect()
