@@ -10,8 +10,9 @@ from ..functions.units import SUMS, number_in, quantity_of, scale_of, spelled, u
 from ..operators.regular import regular_series
 from ..operators.shred import any_leaf, pivoted, shred
 from ..operators.spatial import memberships, near_pairs
-from ..operators.spikes import by_source, profile_residuals, spikes_in_series, tail_cutoffs, wrong_in_profiles
+from ..operators.spikes import profile_residuals, residual_sizes, series_residuals, spikes_in_series, tail_cutoffs, wrong_in_profiles
 from ..operators.units import unit_history, with_units
+from ..session import written
 from ..tables import entity, micros, table
 from .problem_sql import ORACLE as ORACLE
 from .readings import metars, observations
@@ -46,7 +47,7 @@ def soundings_in_units(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     a = a.withColumn("_t", real).where(F.size("_t") > 0)
     mean = F.aggregate("_t", F.lit(0.0), lambda s, t: s + t, lambda s: s / F.size("_t"))
     a = a.select("sounding_id", "source", "code", "quantity", "stated", F.size("_t").alias("n"), mean.alias("number"), day.alias("day"))
-    history = unit_history(a, "source", "code", "quantity", "day", "number", "stated", default={"temperature": "cK"})
+    history = written(unit_history(a, "source", "code", "quantity", "day", "number", "stated", default={"temperature": "cK"}))
     return with_units(a, history, "source", "code", "day", "stated"), history
 
 
@@ -149,39 +150,49 @@ def p5_metars(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- p6: spikes
 
-# Sources whose honest levels scatter more.
-ROUGH = ("northloop", "tape_vault")
+#: Risk at which an honest level passes its source's cutoff.
+LEVEL_RISK = 1e-8
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Ascents with the scale of t to kelvin, and the limits between honest and wrong departures of their source."""
+    """Ascents with the scale of t to kelvin, one row per ascent."""
     _, history = soundings_in_units(spark, folder)
     day = F.coalesce(F.unix_date(F.substring(F.get("soundings", F.lit(0))["time"], 1, 10).try_cast("date")), F.lit(-1)).cast("long")
     levels = F.transform("soundings", lambda x: F.struct(x["p"].alias("p"), x["t"].alias("t"), x["z"].alias("z")))
     s = table(spark, folder, "soundings").select("sounding_id", F.coalesce("source", F.lit("?")).alias("source"), F.lit("t").alias("code"), day.alias("day"), unit_in_remarks(F.col("remarks")).alias("stated"), levels.alias("levels"))
     s = with_units(s, history, "source", "code", "day", "stated")
     factor, offset = scale_of(F.lit("temperature"), F.coalesce("recorded_unit", F.lit("cK")))
-    limits = (by_source(F.col("source"), ROUGH, 6.0, 13.0).alias("limit_t"), by_source(F.col("source"), ROUGH, 150.0, 400.0).alias("limit_z"))
-    return s.select(F.col("sounding_id").alias("record_id"), "source", factor.alias("factor"), offset.alias("offset"), *limits, F.posexplode("levels").alias("ascent_no", "a")).select(
-        "record_id", "ascent_no", "source", "factor", "offset", "limit_t", "limit_z", "a.p", "a.t", "a.z"
+    return s.select(F.col("sounding_id").alias("record_id"), "source", factor.alias("factor"), offset.alias("offset"), F.posexplode("levels").alias("ascent_no", "a")).select(
+        "record_id", "ascent_no", "source", "factor", "offset", "a.p", "a.t", "a.z"
     )
 
 
+def level_cutoffs(a: DataFrame) -> DataFrame:
+    """``source, field`` and the tail of its levels' departures, with the cutoff at LEVEL_RISK."""
+    return tail_cutoffs(profile_residuals(a), ["source", "field"], "size", "n", LEVEL_RISK, near="near")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Readings and levels that are impossible, stuck or spikes."""
     obs = observations(spark, folder)
     bad = spikes_in_series(obs, "icao", "at", "t", DAY, -90.0, 60.0)
     hits = obs.join(bad, (F.col("icao") == F.col("key")) & (F.col("at") == F.col("time")) & (F.col("t") == F.col("value")), "left_semi")
     a = profiles(spark, folder)
-    limit = F.when(F.col("field") == "t", by_source(F.col("source"), ROUGH, 6.0, 13.0)).otherwise(by_source(F.col("source"), ROUGH, 150.0, 400.0))
-    cut = tail_cutoffs(profile_residuals(a).withColumn("limit", limit), ["source", "field"], "size", "n", "limit", 1e-3)
-    cut = cut.groupBy("source").agg(F.max(F.when(F.col("field") == "t", F.col("cutoff"))).alias("cut_t"), F.max(F.when(F.col("field") == "z", F.col("cutoff"))).alias("cut_z"))
-    a = a.join(cut, "source", "left").withColumn("cut_t", F.coalesce("cut_t", "limit_t")).withColumn("cut_z", F.coalesce("cut_z", "limit_z"))
+    cut = level_cutoffs(a).groupBy("source").agg(F.max(F.when(F.col("field") == "t", F.col("cutoff"))).alias("cut_t"), F.max(F.when(F.col("field") == "z", F.col("cutoff"))).alias("cut_z"))
+    a = a.join(cut, "source", "left")
     levels = wrong_in_profiles(a, (150.0, 340.0), (-1000.0, 60000.0))
     none = F.lit(-1)
     return hits.select(F.lit("obs").alias("src"), F.col("obs_id").alias("record_id"), none.alias("ascent_no"), none.alias("level_no")).unionByName(levels.withColumn("src", F.lit("level")))
 
 
+def p6_tails(spark: SparkSession, folder: str) -> DataFrame:
+    """The tail of each station's and source's departures: threshold, number of peaks, shape, scale, and the cutoff at its fixed risk."""
+    obs = residual_sizes(series_residuals(observations(spark, folder), "icao", "at", "t", DAY))
+    of_obs = tail_cutoffs(obs, ["key"], "size", "n", 1e-3).withColumnRenamed("key", "source").withColumn("field", F.lit("t")).withColumn("src", F.lit("obs"))
+    of_levels = level_cutoffs(profiles(spark, folder)).withColumn("src", F.lit("level"))
+    return of_obs.unionByName(of_levels).select("src", "source", "field", "peaks", *(F.round(c, 6).alias(c) for c in ("usual", "threshold", "shape", "scale", "cutoff")))
+
+
 # --- p7: regular series
 
 
@@ -201,4 +212,4 @@ def p7_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(spark, folder).select(F.col("key").alias("icao"), F.date_format(F.timestamp_seconds("slot"), "yyyy-MM-dd'T'HH").alias("hour"), F.round("value", 4).alias("t"), "state")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_converted, p3_segments, p4_found, p5_found, p5_levels, p5_ascents, p5_metars, p6_found, p7_found, p7_hourly)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_converted, p3_segments, p4_found, p5_found, p5_levels, p5_ascents, p5_metars, p6_found, p6_tails, p7_found, p7_hourly)}

@@ -175,9 +175,28 @@ def test_tail_cutoffs(spark):
     rng = np.random.default_rng(1)
     x = np.round(np.abs(rng.exponential(1.0, 200_000)), 3)
     v, n = np.unique(x, return_counts=True)
-    h = spark.createDataFrame([("a", float(s), int(c), 100.0) for s, c in zip(v, n, strict=True)] + [("b", 1.0, 5, 8.0)], "k string, s double, n long, lim double")
-    got = dict(rows(spikes.tail_cutoffs(h, ["k"], "s", "n", "lim", 1e-3)))
-    assert abs(got["a"] - math.log(1000)) < 0.3 and got["b"] == 8.0
+    h = spark.createDataFrame([("a", float(s), int(c)) for s, c in zip(v, n, strict=True)] + [("a", 500.0, 900), ("b", 1.0, 5), (None, 0.0, 7)], "k string, s double, n long").withColumn("usual", F.lit(1))
+    got = {r.k: r for r in spikes.tail_cutoffs(h, ["k"], "s", "n", 1e-3).collect()}
+    whole = {r.k: r for r in spikes.tail_cutoffs(h.where("s < 500"), ["k"], "s", "n", 1e-3, trim=None).collect()}
+    assert abs(whole["a"].cutoff - math.log(1000)) < 0.3 and abs(got["a"].cutoff - math.log(1000)) < 0.6 and abs(got["a"].usual - 1.4826 * math.log(2)) < 0.02 and got["b"].cutoff > 0
+    assert spikes.tail_cutoffs(h.where("false"), ["k"], "s", "n", 1e-3).count() == 0
+
+
+def test_the_tail_decides_profiles(spark):
+    """Two sources of unlike scatter, whose names say nothing: the same departure is wrong in one and usual in the other."""
+    rng = np.random.default_rng(6)
+    data = []
+    for source, scatter in (("calm", 0.3), ("rough", 2.0)):
+        for i in range(150):
+            p = np.round(np.exp(np.linspace(11.4, 8.0, 30))).astype(int)
+            t = 22000 + 2000 * (np.log(p) - 8) + 100 * rng.normal(0, scatter, 30)
+            t[15] += 900 if i == 7 else 0
+            data.append((i if source == "calm" else 1000 + i, 0, source, p.tolist(), [int(v) for v in t], None, 0.01, 0.0))
+    df = spark.createDataFrame(data, "record_id long, ascent_no int, source string, p array<int>, t array<int>, z array<int>, factor double, offset double")
+    cut = spikes.tail_cutoffs(spikes.profile_residuals(df), ["source", "field"], "size", "n", 1e-8, near="near").where("field = 't'").selectExpr("source", "cutoff cut_t", "cast(null as double) cut_z")
+    full = df.join(cut, "source").select(*df.columns, "cut_t", "cut_z")
+    assert rows(spikes.wrong_in_profiles(full, (150, 340), (-1000, 60000))) == [(7, 0, 15)]
+    assert spikes.wrong_in_profiles(full.withColumn("cut_t", F.lit(0.0)), (150, 340), (-1000, 60000)).count() > 1000
 
 
 def test_wrong_levels():
@@ -186,9 +205,12 @@ def test_wrong_levels():
     z = y.copy()
     for i, d in ((5, 20), (6, 22), (15, -9), (24, 40)):
         z[i] += d
-    assert np.flatnonzero(spikes.wrong_levels(x, z, np.ones(30, bool), 1.0, 6.0)).tolist() == [5, 6, 15, 24]
-    assert not spikes.wrong_levels(x, y, np.ones(30, bool), 1.0, 6.0).any()
-    assert not spikes.wrong_levels(x[:2], z[:2], np.ones(2, bool), 1.0, 6.0).any()
+    assert np.flatnonzero(spikes.wrong_levels(x, z, np.ones(30, bool), 6.0)).tolist() == [5, 6, 15, 24]
+    assert not spikes.wrong_levels(x, y, np.ones(30, bool), 6.0).any()
+    assert not spikes.wrong_levels(x[:2], z[:2], np.ones(2, bool), 6.0).any()
+    two = 200.0 + np.arange(20.0)
+    two[[8, 9]] += 8  # equally wrong neighbours, each 4 off the line between the other and an honest one
+    assert np.flatnonzero(spikes.wrong_levels(np.arange(20.0), two, np.ones(20, bool), 6.0)).tolist() == [8, 9]
 
 
 def test_wrong_in_profiles(spark):
@@ -196,12 +218,12 @@ def test_wrong_in_profiles(spark):
     p = [90000 - 6000 * i for i in range(n)]
     t = [28000 - 400 * i for i in range(n)]
     t2 = [*t[:3], *[27000] * 6, *t[9:]]
-    lim = (0.01, 0.0, 6.0, 150.0, 1.0, 10.0)
+    lim = (0.01, 0.0, 6.0, 150.0)
     data = [
         (1, 0, "s", p, [*t[:5], 32000, *t[6:]], None, *lim), (1, 1, "s", p, t2, None, *lim), (2, 0, "s", p, [*t[:4], 40000, -32768, *t[6:]], [100 * i for i in range(n - 2)], *lim),
         (3, 0, "s", None, None, None, *lim), (4, 0, None, [], [], [], *lim), (5, 0, "s", p, t, [0, 900, 1800, 90000, 3600], *lim), (6, 0, "s", [None] * n, t, None, *lim),
     ]
-    schema = "record_id long, ascent_no int, source string, p array<int>, t array<int>, z array<int>, factor double, offset double, limit_t double, limit_z double, cut_t double, cut_z double"
+    schema = "record_id long, ascent_no int, source string, p array<int>, t array<int>, z array<int>, factor double, offset double, cut_t double, cut_z double"
     df = spark.createDataFrame(data, schema)
     assert rows(spikes.wrong_in_profiles(df, (150, 340), (-1000, 60000))) == sorted([(1, 0, 5), *[(1, 1, i) for i in range(3, 9)], (2, 0, 4), (5, 0, 3)], key=str)
     assert spikes.profile_residuals(df).count() > 0 and spikes.wrong_in_profiles(df.where("false"), (150, 340), (-1000, 60000)).count() == 0
