@@ -1,8 +1,8 @@
 """Quantities recorded in different units, resolved by segmenting the history of each source.
 
 The readings that state no unit form a history of daily mean log values per source and code. An exact penalised
-changepoint search cuts it into segments of one level; the level of a segment is matched with the level that the
-source's stated readings, or else those of all sources, would have in each unit in question.
+changepoint search cuts it into segments of one level. The segment that lies nearest to where the source's stated readings would be
+takes the unit they state; from there each level shift that matches the factor between two known units marks a change of unit, to be reversed.
 """
 
 from __future__ import annotations
@@ -45,14 +45,35 @@ def _level(quantity: str, unit: str, base: float) -> float:
     return math.log(max(abs((base - o) / f), 1e-9))
 
 
+def noise(x: np.ndarray) -> float:
+    """The standard deviation of single values about a slowly moving level, from the median step, which a few shifts don't move; infinite for fewer than eight values, which show no shift."""
+    return float(np.median(np.abs(np.diff(x))) / 0.954) if len(x) >= 8 else float("inf")
+
+
+def units_along(levels: list[float], start: int, unit: str, level_of: dict[str, float], sd: float, least: float = 0.05) -> list[str]:
+    """The unit of each segment: ``unit`` at ``start``, another one beyond each shift that matches the step between two units of ``level_of``.
+
+    A shift is a change of unit if it is five times the ``sd`` of single days, and a known step explains all of it but a quarter (and ``least`` or half an ``sd``).
+    Other shifts are changes of the quantity itself.
+    """
+    out = [unit] * len(levels)
+    for step, path in ((1, range(start, len(levels) - 1)), (-1, range(start, 0, -1))):
+        for j in path:
+            s, u = levels[j + step] - levels[j], out[j]
+            v = min(level_of, key=lambda k: (abs(s - level_of[k] + level_of[u]), k != u, k))
+            left = abs(s - level_of[v] + level_of[u])
+            out[j + step] = v if v != u and abs(s) > 5 * sd and left <= max(least, sd / 2) and left < abs(s) / 4 else u
+    return out
+
+
 def unit_history(df: DataFrame, source: str, code: str, quantity: str, day: str, value: str, unit: str, penalty: float = 25.0, default: dict[str, str] | None = None) -> DataFrame:
     """``source, code, day, resolved, segment, level, shift``: the unit of the readings without stated unit, day by day.
 
     Per source, code and day one row of sums is made before anything is gathered, so a group holds at most one row per day and unit,
-    however many readings a source has. Candidates are the units that the source states for the code elsewhere; a
-    source that states none for a quantity named in ``default`` uses that unit, otherwise all known units of the
-    quantity are candidates. The segment's mean log value picks the candidate whose level is nearest (the first
-    on ties). ``shift`` is the level's step from the segment before. Days on which all values are zero or missing
+    however many readings a source has. The history of daily mean log values is cut into segments; a new one costs ``penalty`` times the variance of single days.
+    The segment nearest to the level of the source's stated readings (of all sources', if it states none) takes the unit they state; a
+    source that states none for a quantity named in ``default`` takes that unit, otherwise the known unit of the quantity that lies nearest.
+    ``units_along`` then follows the shifts to all other segments, among all known units of the quantity. ``shift`` is the level's step from the segment before. Days on which all values are zero or missing
     follow the segment before them, or the next one. Null sources count as one source.
     """
     v = F.col(value).cast("double")
@@ -78,18 +99,22 @@ def unit_history(df: DataFrame, source: str, code: str, quantity: str, day: str,
         base = float(np.average(stated["base"].fillna(0), weights=weight)) if weight.sum() > 0 else g["base_all"].iloc[0]
         base = None if base is None or math.isnan(base) else base
         seen = bare[bare["n"] > 0]
-        starts = segments(seen["m"].to_numpy(float), seen["n"].to_numpy(float), penalty) if len(seen) else []
+        x = seen["m"].to_numpy(float)
+        sd = noise(x)
+        starts = segments(x, np.ones(len(x)), penalty * max(sd, 1e-3) ** 2 if math.isfinite(sd) else 1e12) if len(x) else []
         number = np.zeros(len(bare), int)
-        levels, picks = [], []
+        levels = []
         for i, s in enumerate(starts):
             part = seen.iloc[s : starts[i + 1] if i + 1 < len(starts) else None]
-            level = float(np.average(part["m"], weights=part["n"]))
-            levels.append(level)
-            picks.append(units[0] if base is None or len(units) == 1 else min(units, key=lambda u: (abs(_level(q, u, base) - level), u)))
+            levels.append(float(np.average(part["m"], weights=part["n"])))
             if i:
                 number[(bare["day"] >= part["day"].iloc[0]).to_numpy()] = i
-        if not starts:
-            levels, picks = [float("nan")], [units[0]]
+        picks = [units[0]] * max(1, len(levels))
+        if levels and base is not None:
+            level_of = {u: _level(q, u, base) for (p, u) in SCALES if p == q}
+            _, start, first = min((abs(level_of[u] - v), i, u) for i, v in enumerate(levels) for u in units)
+            picks = units_along(levels, start, first, level_of, sd)
+        levels = levels or [float("nan")]
         shift = [0.0, *np.diff(levels)]
         out = bare[["source", "code", "day"]].copy()
         out["resolved"], out["segment"] = [picks[i] for i in number], number

@@ -76,6 +76,33 @@ def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
     return h.groupBy("source", "code", "segment").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.min("resolved").alias("unit"), F.round(F.min("level"), 6).alias("level"), F.round(F.min("shift"), 6).alias("shift"))
 
 
+def switched_feed(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """One feed per code that takes its readings from one source before the middle day and from another one after it, units withheld; the first source's own stated readings stay stated.
+
+    The two are the sources with the most readings in a unit of their own: the first, and the one with most readings in any other unit. ``was``: the unit withheld.
+    """
+    r, _ = readings_in_units(spark, folder)
+    r = written(r.where("number <> 0 and day >= 0").select("reading_id", "code", "source", "quantity", "day", "number", "stated", F.col("recorded_unit").alias("was")))
+    n = r.groupBy("code", "source", "was").agg(F.count("*").alias("n"))  # codes, sources and units are few
+    first = n.groupBy("code").agg(F.max(F.struct("n", "source", "was")).alias("a"))
+    other = n.join(first, "code").where("was <> a.was").groupBy("code").agg(F.first("a").alias("a"), F.max(F.struct("n", "source", "was")).alias("b"))
+    middle = r.agg(F.percentile_approx("day", 0.5)).first()[0] or 0
+    x = r.join(other, "code")
+    early = (F.col("source") == F.col("a.source")) & (F.col("was") == F.col("a.was")) & (F.col("day") < middle)
+    late = (F.col("source") == F.col("b.source")) & (F.col("was") == F.col("b.was")) & (F.col("day") >= middle)
+    x = x.where(early | late)
+    kept = early & F.col("stated").isNotNull() & (F.pmod(F.xxhash64("reading_id"), F.lit(4)) == 0)
+    return x.select("reading_id", F.lit("feed").alias("source"), "code", "quantity", "day", "number", F.when(kept, F.col("stated")).alias("stated"), "was"), middle
+
+
+def p3_switched(spark: SparkSession, folder: str) -> DataFrame:
+    """Feeds that change their source, and so their unit, in mid-history, without a word about it: per code and half the unit withheld, the one found, and how many days."""
+    x, middle = switched_feed(spark, folder)
+    h = unit_history(x, "source", "code", "quantity", "day", "number", "stated")
+    w = with_units(x, h, "source", "code", "day", "stated").where("stated is null")
+    return w.groupBy("code", (F.col("day") >= middle).alias("late"), "was", F.col("recorded_unit").alias("found")).agg(F.count("*").alias("n"), F.countDistinct("day").alias("days"))
+
+
 # --- p4: places
 
 
@@ -212,4 +239,4 @@ def p7_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(spark, folder).select(F.col("key").alias("icao"), F.date_format(F.timestamp_seconds("slot"), "yyyy-MM-dd'T'HH").alias("hour"), F.round("value", 4).alias("t"), "state")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_converted, p3_segments, p4_found, p5_found, p5_levels, p5_ascents, p5_metars, p6_found, p6_tails, p7_found, p7_hourly)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_converted, p3_segments, p3_switched, p4_found, p5_found, p5_levels, p5_ascents, p5_metars, p6_found, p6_tails, p7_found, p7_hourly)}

@@ -65,6 +65,30 @@ def test_unit_history_and_edges(spark):
     assert with_units(empty, unit_history(empty, "source", "code", "q", "day", "v", "unit"), "source", "code", "day", "unit").count() == 0
 
 
+@pytest.mark.parametrize("one_segment", [False, True])
+def test_changepoints_decide_units(spark, monkeypatch, one_segment):
+    """Sources that change their unit in mid-history, stating the first one elsewhere; a real change of level is none; without changepoints the second half is lost."""
+    from fieldcheck.operators import units
+
+    if one_segment:
+        monkeypatch.setattr(units, "segments", lambda x, w, penalty: [0])
+    rng = np.random.default_rng(5)
+    data, truth = [], {}
+    for source, quantity, first, then, base in (("a", "speed", "m s-1", "kt", 8.0), ("b", "temperature", "C", "K", 12.0), ("c", "pressure", "hPa", "Pa", 1000.0), ("d", "speed", "m s-1", "m s-1", 8.0), ("e", "length", "km", "mi", 9.0)):
+        for day in range(120):
+            for k in range(3):
+                v, u = base * (1 + rng.normal(0, 0.03)) * (1.4 if source == "d" and day >= 60 else 1), first if day < 60 else then
+                v = v if u == first else {"kt": v / 0.514444, "K": v + 273.15, "Pa": v * 100, "mi": v / 1.609344}[u]
+                i = len(data)
+                stated = u if day < 60 and k == 0 else None
+                truth[i] = u
+                data.append((i, source, "x", quantity, day, float(v), stated, None, None))
+    df = spark.createDataFrame(data, UNIT_ROWS)
+    h = units.unit_history(df, "source", "code", "q", "day", "v", "unit")
+    wrong = {r.source for r in with_units(df, h, "source", "code", "day", "unit").collect() if r.recorded_unit != truth[r.id]}
+    assert wrong == ({"a", "b", "c", "e"} if one_segment else set())
+
+
 def test_unit_text(spark):
     df = spark.createDataFrame([("about 27561,6 cK", "log sheet 4, in Hg", "x; T: 0.1 deg F"), ("-1.5e-3m/s", "tsf in K", "operator change"), (None, None, None), ("", "ok", "t 0.1 K")], "a string, b string, c string")
     got = df.select(number_in(F.col("a")), unit_in_note(F.col("b"), F.lit("tsf")), unit_in_remarks(F.col("c")), spelled(F.lit("pressure"), F.lit("IN Hg"))).collect()
