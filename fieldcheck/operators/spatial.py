@@ -15,19 +15,22 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, grid_index, haversine_km, morton, unit_xyz, wrap_lon
 
-#: Depth of the longitude-latitude quadtree that covers regions (cells of 0.7 by 0.35 degrees).
-DEPTH = 9
+#: Depth of the longitude-latitude quadtree that covers regions (cells of 0.02 by 0.01 degrees), and by how many bits its codes are cut to the blocks of the join (cells of 1.4 by 0.7 degrees).
+DEPTH, BLOCK = 14, 12
+#: A cell with more positions than this is split among several tasks.
+CROWDED = 2000
 
 
-def range_join(points: DataFrame, code: str, ranges: DataFrame, low: str, high: str, shift: int) -> DataFrame:
+def range_join(points: DataFrame, code: str, ranges: DataFrame, low: str, high: str, shift: int, salts: int = 4) -> DataFrame:
     """Rows of ``points`` joined to the rows of ``ranges`` with ``low <= code <= high``.
 
-    The sorted codes are cut into blocks of ``2**shift``; a range is repeated for each block it touches, so the
-    join is an equality on the block with the range as a residual condition. Null codes and bounds join nothing.
+    The sorted codes are cut into aligned blocks of ``2**shift``; a range is cut at each block it touches, so the
+    join is an equality on the block with what the range has of it as a residual condition. The points of a block are spread over ``salts`` keys, for each of which
+    the ranges, the smaller side, are repeated. Null codes and bounds join nothing.
     """
-    left = points.withColumn("_block", F.shiftright(F.col(code), shift))
-    right = ranges.withColumn("_block", F.explode(F.sequence(F.shiftright(F.col(low), shift), F.shiftright(F.col(high), shift))))
-    return left.join(right, (left["_block"] == right["_block"]) & left[code].between(right[low], right[high])).drop("_block")
+    left = points.withColumn("_block", F.shiftright(F.col(code), shift)).withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
+    right = ranges.withColumn("_block", F.explode(F.sequence(F.shiftright(F.col(low), shift), F.shiftright(F.col(high), shift)))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, (left["_block"] == right["_block"]) & (left["_salt"] == right["_salt"]) & left[code].between(right[low], right[high])).drop("_block", "_salt")
 
 
 def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_km: float) -> DataFrame:
@@ -36,7 +39,8 @@ def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_km: float
     Positions become cells of a cubic grid over the unit sphere with an edge of twice the radius (no seam, no
     poles), coded in Z-order; the disc round a point touches at most 8 cells. Repeated positions of a key are
     merged first. Rows without key or usable position must be filtered by the caller; nulls give no pair.
-    An area with many keys yields its true pairs only: the distance is a condition of the join itself.
+    An area with many keys yields its true pairs only: the distance is a condition of the join itself. The positions of a crowded cell are
+    split into parts of about CROWDED by key, each joined by a task of its own with the discs that touch the cell.
     """
     chord = 2 * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2)) * (1 + 1e-9) + 1e-12
     bits = max(1, min(20, math.ceil(math.log2(2 / (2 * chord) + 1))))
@@ -50,7 +54,10 @@ def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_km: float
         cover = cover.withColumn(c, F.explode(c))
     cover = cover.select(F.col("_k").alias("_k2"), F.col("_la").alias("_la2"), F.col("_lo").alias("_lo2"), morton([F.col("_x"), F.col("_y"), F.col("_z")], bits).alias("_c2"))
     near = haversine_km(F.col("_la"), F.col("_lo"), F.col("_la2"), F.col("_lo2")) <= radius_km
-    return home.join(cover, (F.col("_c") == F.col("_c2")) & (F.col("_k") < F.col("_k2")) & near).select(F.col("_k").alias("key_a"), F.col("_k2").alias("key_b")).distinct()
+    crowded = home.groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWDED).select("_c", F.ceil(F.col("_n") / CROWDED).cast("int").alias("_parts"))
+    home = home.join(crowded, "_c", "left").withColumn("_part", F.pmod(F.xxhash64("_k"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    cover = cover.join(crowded.withColumnRenamed("_c", "_c2"), "_c2", "left").withColumn("_part2", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return home.join(cover, (F.col("_c") == F.col("_c2")) & (F.col("_part") == F.col("_part2")) & (F.col("_k") < F.col("_k2")) & near).select(F.col("_k").alias("key_a"), F.col("_k2").alias("key_b")).distinct()
 
 
 def _boxes(r) -> list[tuple[float, float, float, float]]:
@@ -78,7 +85,9 @@ def _boxes(r) -> list[tuple[float, float, float, float]]:
 
 
 def _cover(boxes: list[tuple[float, float, float, float]]) -> list[tuple[int, int]]:
-    """Ranges of codes at DEPTH whose cells cover the boxes."""
+    """Ranges of codes at DEPTH whose cells cover the boxes. Cells at the edges are a sixty-fourth of the wider side or less, so small regions have small cells."""
+    wide = max((max(b[1] - b[0], b[3] - b[2]) for b in boxes), default=360.0)
+    deepest = max(1, min(DEPTH, math.ceil(math.log2(360 / max(wide, 1e-9))) + 6))
     found: list[tuple[int, int]] = []
     stack = [(0, 0, 0, 0)]
     while stack:
@@ -88,7 +97,7 @@ def _cover(boxes: list[tuple[float, float, float, float]]) -> list[tuple[int, in
         hit = [b for b in boxes if b[0] <= e and b[1] >= w and b[2] <= t and b[3] >= s]
         if not hit:
             continue
-        if level == DEPTH or any(b[0] <= w and b[1] >= e and b[2] <= s and b[3] >= t for b in hit):
+        if level == deepest or any(b[0] <= w and b[1] >= e and b[2] <= s and b[3] >= t for b in hit):
             size = 4 ** (DEPTH - level)
             found.append((code * size, (code + 1) * size - 1))
         else:
@@ -150,5 +159,5 @@ def memberships(points: DataFrame, key: str, lat: str, lon: str, regions: DataFr
     x, y = grid_index(F.col("_lo"), -180.0, step_x, DEPTH), grid_index(F.col("_la"), -90.0, step_y, DEPTH)
     p = points.select(F.col(key).alias("key_a"), F.col(lat).alias("_la"), wrap_lon(F.col(lon)).alias("_lo")).dropna().distinct().withColumn("_code", morton([x, y], DEPTH))
     r = regions.select(F.col(region).cast("string").alias("region_no"), "kind", "west", "east", "south", "north", "clat", "clon", "radius_km", "ring")
-    near = range_join(p, "_code", cover_regions(r), "low", "high", 10)
+    near = range_join(p, "_code", cover_regions(r), "low", "high", BLOCK)
     return near.join(r, "region_no").where(_inside(F.col("_la"), F.col("_lo"))).select("key_a", F.col("region_no").alias("key_b")).distinct()

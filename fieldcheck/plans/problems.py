@@ -122,20 +122,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shredded(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the three nested tables, shredded: ``src`` and the columns of ``shred``."""
-    out = None
-    for name, key, body in (
-        ("soundings", "sounding_id", F.to_json(F.struct("soundings"))),
-        ("station_history", "hist_id", F.to_json(F.struct("metars", "taf"))),
-        ("raw_records", "raw_id", F.col("payload")),
-    ):
-        t = table(spark, folder, name).select(key, body.alias("_body"))
-        one = shred(t, key, "_body", REPEATED, ("data", "station")).withColumn("src", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The records that are text, shredded: ``src`` and the columns of ``shred``."""
+    return shred(table(spark, folder, "raw_records"), "raw_id", "payload", REPEATED, ("data", "station")).withColumn("src", F.lit("raw_records"))
 
 
 LEVELS, METARS, ASCENTS = ["soundings[].levels[]", "soundings[]#"], ["metars[]"], ["soundings[]"]
+METAR_LEAVES = {"time": "string", "t": "double", "td": "double", "qnh": "double", "slp": "double"}
 
 
 def level_rows(rows: DataFrame) -> DataFrame:
@@ -143,36 +135,54 @@ def level_rows(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("ancestor") == LEVELS[0]) | ((F.col("ancestor") == LEVELS[1]) & any_leaf(LEVEL_ARRAYS)))
 
 
+def typed_ascents(spark: SparkSession, folder: str) -> DataFrame:
+    """The ascents of the table that is already typed, which needs no parsing: ``src, record_id, ascent_no, a``."""
+    s = table(spark, folder, "soundings").select(F.lit("soundings").alias("src"), F.col("sounding_id").alias("record_id"), F.posexplode("soundings").alias("ascent_no", "a"))
+    return s.where("a is not null")
+
+
+def typed_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Its levels by position, as many as the longest array has, the others padded with null."""
+    none = F.array().cast("array<int>")
+    zipped = F.arrays_zip(*(F.coalesce(F.col(f"a.{c}"), none).alias(c) for c in LEVEL_ARRAYS))
+    return typed_ascents(spark, folder).select("src", "record_id", "ascent_no", F.posexplode(zipped).alias("level_no", "v")).select("src", "record_id", "ascent_no", "level_no", "v.*")
+
+
+def typed_metars(spark: SparkSession, folder: str) -> DataFrame:
+    h = table(spark, folder, "station_history").select(F.lit("station_history").alias("src"), F.col("hist_id").alias("record_id"), F.posexplode("metars").alias("item_no", "m"))
+    return h.where("m is not null").select("src", "record_id", "item_no", *(F.col(f"m.{c}").alias(c) for c in METAR_LEAVES))
+
+
+def table_of(rows: DataFrame, ancestors: list[str], names: list[str], columns: dict[str, str]) -> DataFrame:
+    p = pivoted(rows.withColumn("record_id", F.struct("src", "record_id")), ancestors, names, columns)
+    return p.select("record_id.src", F.col("record_id.record_id").alias("record_id"), *names, *columns)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every level and METAR with its parent and position."""
     rows = shredded(spark, folder)
     level = (F.col("ancestor") == LEVELS[0]) | ((F.col("ancestor") == LEVELS[1]) & any_leaf(LEVEL_ARRAYS))
     metar = F.col("ancestor") == METARS[0]
-    return rows.where(level | metar).select(
+    found = rows.where(level | metar).select(
         "src", "record_id", F.when(metar, -1).otherwise(F.get("ordinals", F.lit(0))).alias("ascent_no"), F.get("ordinals", F.when(metar, 0).otherwise(1)).alias("item_no")
     )
+    levels = typed_levels(spark, folder).select("src", "record_id", "ascent_no", F.col("level_no").alias("item_no"))
+    return found.unionByName(levels).unionByName(typed_metars(spark, folder).select("src", "record_id", F.lit(-1).alias("ascent_no"), "item_no"))
 
 
 def p5_levels(spark: SparkSession, folder: str) -> DataFrame:
     """The table of levels."""
-    rows = level_rows(shredded(spark, folder))
-    return pivoted(rows.withColumn("record_id", F.struct("src", "record_id")), LEVELS, ["ascent_no", "level_no"], {c: "int" for c in LEVEL_ARRAYS}).select(
-        "record_id.src", F.col("record_id.record_id").alias("record_id"), "ascent_no", "level_no", *LEVEL_ARRAYS
-    )
+    return table_of(level_rows(shredded(spark, folder)), LEVELS, ["ascent_no", "level_no"], {c: "int" for c in LEVEL_ARRAYS}).unionByName(typed_levels(spark, folder))
 
 
 def p5_ascents(spark: SparkSession, folder: str) -> DataFrame:
     """The table of ascents."""
-    rows = shredded(spark, folder).withColumn("record_id", F.struct("src", "record_id"))
-    return pivoted(rows, ASCENTS, ["ascent_no"], {"time": "string", "n": "int"}).select("record_id.src", F.col("record_id.record_id").alias("record_id"), "ascent_no", "time", "n")
+    return table_of(shredded(spark, folder), ASCENTS, ["ascent_no"], {"time": "string", "n": "int"}).unionByName(typed_ascents(spark, folder).select("src", "record_id", "ascent_no", "a.time", "a.n"))
 
 
 def p5_metars(spark: SparkSession, folder: str) -> DataFrame:
     """The table of METARs."""
-    rows = shredded(spark, folder).withColumn("record_id", F.struct("src", "record_id"))
-    return pivoted(rows, METARS, ["item_no"], {"time": "string", "t": "double", "td": "double", "qnh": "double", "slp": "double"}).select(
-        "record_id.src", F.col("record_id.record_id").alias("record_id"), "item_no", "time", "t", "td", "qnh", "slp"
-    )
+    return table_of(shredded(spark, folder), METARS, ["item_no"], METAR_LEAVES).unionByName(typed_metars(spark, folder))
 
 
 # --- p6: spikes

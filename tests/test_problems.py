@@ -273,3 +273,31 @@ def test_found_rows_are_distinct(spark, data, name):
 
     df = QUERIES[name](spark, data)
     assert df.count() == df.distinct().count()
+
+
+def test_triples_stream():
+    """The reader accepts what a JSON parser accepts, keeps arrays in arrays, and yields before the end of the text."""
+    import json
+
+    from fieldcheck.operators.shred import triples
+
+    got = list(triples('{"x":[[1,2],[{"q":1.50},"s"]],"y":{"z":[3],"w":true}}', frozenset()))
+    assert got == [("x[]#", (0, 0), "x", "1"), ("x[]#", (0, 1), "x", "2"), ("x[][]", (1, 0), None, None), ("x[][]", (1, 0), "q", "1.50"), ("x[]#", (1, 1), "x", "s"), ("#", (0,), "z", "3"), ("", (), "y.w", "true")]
+    first = triples('{"a":1,"b":', frozenset())
+    assert next(first) == ("", (), "a", "1")
+    deep = '{"a":' + "[" * 5000 + "]" * 5000 + "}"
+    assert list(triples(deep, frozenset())) == []
+    for text in ('{"a":1,}', '{"a" 1}', '{"a":[1,]}', '{"a":01}', '{"a":1}}', '{"a":"\n"}', "[1]", '{"a":tru}', '{"a":[1 2]}', "{,}", '{"a":{"b":1]}'):
+        with pytest.raises(ValueError):
+            list(triples(text, frozenset()))
+        assert text == "[1]" or pytest.raises(ValueError, json.loads, text)
+
+
+def test_crowded_cell(spark, monkeypatch):
+    from fieldcheck.operators import spatial
+
+    pts = [(f"K{i:03d}", 10 + i * 1e-4, 20.0) for i in range(60)]
+    df = spark.createDataFrame(pts, "k string, la double, lo double")
+    want = {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and km(a[1:], b[1:]) <= 3.0}
+    monkeypatch.setattr(spatial, "CROWDED", 7)
+    assert set(rows(spatial.near_pairs(df, "k", "la", "lo", 3.0))) == want
