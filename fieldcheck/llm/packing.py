@@ -126,12 +126,13 @@ def _pack(items: DataFrame, capacity: int, tag: str, open_at_once: int, tasks: i
     return items.repartitionByRange(tasks, "place", "doc_id").sortWithinPartitions("place", F.desc("tokens"), "doc_id", "piece").mapInPandas(run, PACKED)
 
 
-def packed(sizes: DataFrame, capacity: int = 2048, open_at_once: int = 64, enough: float = 0.98, per_task: int = 1000) -> DataFrame:
+def packed(sizes: DataFrame, capacity: int = 2048, open_at_once: int = 64, enough: float = 0.98, per_task: int = 1000, most: int = 1_000_000) -> DataFrame:
     """``doc_id, piece, tokens, container, start``: every item in a container of ``capacity``, neighbours along the curve together.
 
     Items above the capacity are split into full pieces, each a container of its own, and a rest; others are never split. Rests
     and items are range-partitioned by place on the curve and id, so equal items spread over tasks, and packed along
-    it; the number of tasks follows the total size, so that each packs about ``per_task`` containers. Containers filled below ``enough``, the last ones of each task among them, are packed once more, in fewer tasks. Items of size 0 take
+    it; the number of tasks follows the total size, so that each packs about ``per_task`` containers, until there are as many tasks as shuffle partitions; from there on
+    tasks grow to ``most`` containers (some hundred MB of sizes, read as a stream) before there are more of them, so their number stays one that a sample of bounds can be drawn for. Containers filled below ``enough``, the last ones of each task among them, are packed once more, in fewer tasks. Items of size 0 take
     part and need no space. The names of containers depend on the partitioning; no item is lost or repeated.
     """
     full = F.floor(F.col("tokens") / capacity).cast("int")
@@ -140,7 +141,8 @@ def packed(sizes: DataFrame, capacity: int = 2048, open_at_once: int = 64, enoug
     whole = whole.select("doc_id", "piece", F.lit(capacity).cast("long").alias("tokens"), F.concat_ws("-", F.lit("w"), "doc_id", "piece").alias("container"), F.lit(0).cast("long").alias("start"))
     rest = s.where((F.col("full") == 0) | (F.col("tokens") % capacity > 0)).select("doc_id", F.col("full").alias("piece"), (F.col("tokens") % capacity).cast("long").alias("tokens"), "place")
     total = rest.agg(F.sum("tokens")).first()[0] or 0
-    tasks = max(1, round(total / capacity / per_task))
+    shuffled = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(round(total / capacity / per_task), max(shuffled, round(total / capacity / most))))
     first = written(_pack(rest, capacity, "a", open_at_once, tasks))
     good = F.col("filled") >= enough * capacity
     again = _pack(first.where(~good).select("doc_id", "piece", "tokens", "place"), capacity, "b", 4 * open_at_once, max(1, tasks // 16))
