@@ -11,26 +11,37 @@ from ..session import written
 from .windows import neighbours
 
 
-def components(cells: DataFrame, by: list[str], row: str, col: str, rounds: int = 60) -> DataFrame:
+def components(cells: DataFrame, by: list[str], row: str, col: str) -> DataFrame:
     """``by, row, col, label``: connected components under 4-neighbourhood, labelled by their least cell.
 
-    Cells are first labelled by maximal horizontal and vertical runs; then the least label of each run spreads to its cells until nothing changes. One pass crosses a whole
-    run, not one cell. Every pass is written to the shared folder; only a count returns to the driver. Raises if ``rounds`` don't suffice.
+    Cells are first contracted to maximal horizontal runs; runs that touch are edges, far fewer than cells. Alternating star steps (each node links its greater
+    neighbours to the least node near it, then its smaller ones) leave stars in a number of rounds that grows with the logarithm of the number of runs, so there is no cap on rounds.
+    Every round is written to the shared folder; only a count returns to the driver. A node of very many neighbours is only ever reduced to its least one by partial aggregates.
     """
     x = cells.select(*by, row, col).distinct()
     across = F.col(col) - F.row_number().over(Window.partitionBy(*by, row).orderBy(col))
-    down = F.col(row) - F.row_number().over(Window.partitionBy(*by, col).orderBy(row))
-    x = written(x.withColumn("_a", across).withColumn("_d", down).withColumn("label", F.struct(F.col(row).cast("long").alias("r"), F.col(col).cast("long").alias("c"))))
-    for _ in range(rounds):
-        a = F.min("label").over(Window.partitionBy(*by, row, "_a"))
-        n = x.withColumn("_m", a)
-        n = n.withColumn("_n", F.min("_m").over(Window.partitionBy(*by, col, "_d")))
-        n = written(n.withColumn("_changed", F.col("_n") != F.col("label")).withColumn("label", F.col("_n")).drop("_m", "_n"))
-        done = n.where("_changed").limit(1).count() == 0
-        x = n.drop("_changed")
-        if done:
-            return x.select(*by, row, col, "label")
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+    x = x.withColumn("_a", across)
+    runs = x.groupBy(*by, row, "_a").agg(F.min(col).alias("_c0"), F.max(col).alias("_c1"))
+    node = F.struct(F.col(row).cast("long").alias("r"), F.col("_c0").cast("long").alias("c"))
+    runs = written(runs.select(*by, row, "_a", "_c0", "_c1", F.struct(*by, node.alias("_n")).alias("node")))
+    # Runs of neighbouring rows touch if they share a column: of a run's columns each is the cell of one run below at most.
+    at = written(x.join(runs.select(*by, row, "_a", "node"), [*by, row, "_a"]).select(*by, row, col, "node"))
+    below = at.select(*by, (F.col(row) - 1).alias(row), col, F.col("node").alias("other"))
+    edges = written(at.join(below, [*by, row, col]).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).where("u <> v").distinct())
+    total = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = written(small)
+        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        if now == total:
+            break
+        total = now
+    label = F.coalesce(F.col("v")["_n"], F.col("node")["_n"])
+    return at.join(edges, F.col("node") == F.col("u"), "left").select(*by, row, col, label.alias("label"))
 
 
 def axis_weights(spark, source_edges: list[float], target_edges: list[float], sine: bool, period: float | None = None) -> DataFrame:

@@ -327,13 +327,13 @@ def flt_quarantine(spark, folder):
     return table(spark, folder, "field_readings").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query(LEVELS + """, c as (select l.*, row_number() over (partition by sounding_id, ascent_no order by p desc, level_no) rn from l join (select sounding_id, elev from soundings) s using (sounding_id) where p <> -32768 and z <> -32768 and not isnan(elev) and abs(z - elev) <= 900)
+@query(LEVELS + """, c as (select l.*, row_number() over (partition by sounding_id, ascent_no order by p desc, level_no) rn from l join (select sounding_id, elev from soundings) s using (sounding_id) where p <> -32768 and z <> -32768 and not isnan(elev) and abs(z - elev) <= 150)
  select sounding_id, ascent_no, level_no, p from c where rn = 1""")
 def flt_surface_level(spark, folder):
     """FLT-12: within a nested array, the level near the station's height with the greatest pressure, the first on ties."""
     s = table(spark, folder, "soundings").select("sounding_id", number("elev").alias("elev"), F.posexplode("soundings").alias("ascent_no", "a"))
     zipped = F.transform(F.arrays_zip("a.p", "a.z"), lambda x, i: F.struct(x["p"].alias("p"), (-i).alias("i"), x["z"].alias("z")))
-    near = F.filter(zipped, lambda x: (x["p"] != -32768) & (x["z"] != -32768) & (F.abs(x["z"] - F.col("elev")) <= 900))
+    near = F.filter(zipped, lambda x: (x["p"] != -32768) & (x["z"] != -32768) & (F.abs(x["z"] - F.col("elev")) <= 150))
     return s.withColumn("m", F.array_max(near)).where("m is not null").select("sounding_id", "ascent_no", (-F.col("m.i")).alias("level_no"), F.col("m.p").alias("p"))
 
 

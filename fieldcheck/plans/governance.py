@@ -50,11 +50,11 @@ def src_index_spans(spark, folder):
     return index_spans(d.withColumn("size", F.lit(None).cast("long")).withColumn("_all", F.lit(1)), ["_all"], "first_at", "size").select("d", "first", "last")  # one row per day of a month
 
 
-@query("select doc_id, substr(text, 1, 8) head, length(text) > 8 longer from documents where text is not null and length(text) = strlen(text)")
+@query("select doc_id, substr(hex(encode(text)), 1, 16) head, strlen(text) > 8 longer from documents where text is not null")
 def src_byte_ranges(spark, folder):
     """SRC-02: byte ranges of binary content."""
-    d = table(spark, folder, "documents").where("text is not null and length(text) = octet_length(text)")
-    return d.select("doc_id", byte_span(F.col("text").cast("binary"), F.lit(0), F.lit(8)).cast("string").alias("head"), (F.length("text") > 8).alias("longer"))
+    d = table(spark, folder, "documents").where("text is not null")
+    return d.select("doc_id", F.hex(byte_span(F.col("text").cast("binary"), F.lit(0), F.lit(8))).alias("head"), (F.octet_length("text") > 8).alias("longer"))
 
 
 @query("select run as collection, item, variable asset, count(*) n, min(case when not isnan(median) then median end) least from plane_ceiling where variable is not null and item is not null group by all")

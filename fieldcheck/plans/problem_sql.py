@@ -56,4 +56,28 @@ P7 = f"""with {METAR}, g as (select distinct icao, us // 3600000000 h from metar
  d as (select distinct icao, h // 24 d from g), need as (select icao, d * 24 + k h from d, range(24) r(k))
  select need.icao, strftime(make_timestamp(need.h * 3600000000), '%Y-%m-%dT%H') as "hour" from need left join g on g.icao = need.icao and g.h = need.h where g.h is null"""
 
-ORACLE = {"p3_found": P3, "p3_converted": P3_CONVERTED, "p4_found": P4, "p5_found": P5, "p7_found": P7}
+_RAW = """j as (select raw_id, coalesce(json_extract(payload, '$.data'), payload::json) d from raw_records where json_valid(payload)),
+ s as (select raw_id, json_extract(d, '$.soundings') s, json_extract(d, '$.metars') m from j),
+ ra as (select raw_id, unnest(l) a, generate_subscripts(l, 1) - 1 ascent_no from (select raw_id, case json_type(s) when 'OBJECT' then [s] when 'ARRAY' then s::json[] end l from s)),
+ rm as (select raw_id, unnest(l) a, generate_subscripts(l, 1) - 1 item_no from (select raw_id, case json_type(m) when 'OBJECT' then [m] when 'ARRAY' then m::json[] end l from s))"""
+_numbers = ", ".join(f"try_cast(a->>'{c}' as double) {c}" for c in ("t", "td", "qnh", "slp"))
+P5_METARS = f"""with {_RAW}, h as (select hist_id, unnest(metars) m, generate_subscripts(metars, 1) - 1 item_no from station_history)
+ select 'station_history' src, hist_id record_id, item_no, m.time as "time", m.t t, m.td td, m.qnh qnh, m.slp slp from h where m is not null
+ union all select 'raw_records', raw_id, item_no, a->>'time', {_numbers} from rm where json_type(a) = 'OBJECT'"""
+P5_ASCENTS = f"""with {_RAW}, a0 as (select sounding_id, unnest(soundings) a, generate_subscripts(soundings, 1) - 1 ascent_no from soundings)
+ select 'soundings' src, sounding_id record_id, ascent_no, a.time as "time", a.n n from a0 where a is not null union all select 'raw_records', raw_id, ascent_no, a->>'time', try_cast(a->>'n' as int) from ra where json_type(a) = 'OBJECT'"""
+_LEVEL = ("p", "t", "td", "z", "sig")
+_lens = ", ".join(f"coalesce(json_array_length(a, '$.{c}'), 0)" for c in _LEVEL)
+P5_LEVELS = f"""with {_RAW}, a0 as (select sounding_id, unnest(soundings) a, generate_subscripts(soundings, 1) - 1 ascent_no from soundings),
+ l0 as (select sounding_id, ascent_no, a, unnest(range(greatest({", ".join(f"coalesce(len(a.{c}), 0)" for c in _LEVEL)}))) i from a0),
+ r0 as (select raw_id, ascent_no, a, json_type(json_extract(a, '$.levels')) kind from ra where json_type(a) = 'OBJECT'),
+ r1 as (select *, unnest(range(case kind when 'OBJECT' then 1 when 'ARRAY' then json_array_length(a, '$.levels') else greatest({_lens}) end::bigint)) i from r0)
+ select 'soundings' src, sounding_id record_id, ascent_no, i level_no, {", ".join(f"a.{c}[i + 1] {c}" for c in _LEVEL)} from l0
+ union all select 'raw_records', raw_id, ascent_no, i, {", ".join(f"try_cast(json_extract_string(a, case kind when 'OBJECT' then '$.levels.{c}' when 'ARRAY' then '$.levels[' || i || '].{c}' else '$.{c}[' || i || ']' end) as int)" for c in _LEVEL)} from r1"""
+
+P7_HOURLY = f"""with {METAR}, g as (select icao, us // 3600000000 h, avg(t) v from metar where icao is not null and us is not null and t is not null and not isnan(t) group by all),
+ d as (select distinct icao, h // 24 d from g), need as (select icao, d * 24 + k h from d, range(24) r(k)),
+ x as (select need.icao, need.h, a.h h0, a.v v0, b.h h1, b.v v1 from need asof left join g a on a.icao = need.icao and need.h >= a.h asof left join g b on b.icao = need.icao and need.h <= b.h)
+ select icao, strftime(make_timestamp(h * 3600000000), '%Y-%m-%dT%H') as "hour", round(case when h0 = h then v0 when h1 - h0 <= 4 then v0 + (v1 - v0) * (h - h0) / (h1 - h0) end, 4) t, case when h0 = h then 'observed' when h1 - h0 <= 4 then 'interpolated' else 'missing' end state from x"""
+
+ORACLE = {"p5_metars": P5_METARS, "p5_ascents": P5_ASCENTS, "p5_levels": P5_LEVELS, "p7_hourly": P7_HOURLY, "p3_found": P3, "p3_converted": P3_CONVERTED, "p4_found": P4, "p5_found": P5, "p7_found": P7}

@@ -23,9 +23,12 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset (tests), a new temporary one."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset in local mode (tests), a new temporary one. On a cluster without it, raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_fieldcheck_folder", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark._fieldcheck_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
