@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..streaming import flows
-from ..tables import table
+from ..tables import entity, table
 from .registry import registry
 
 QUERIES, ORACLE, query = registry()
@@ -59,7 +59,26 @@ def stream_freeze_states(spark, folder):
     """ST-03, ST-05: a run is frozen once; refused runs may be tried again."""
     p = flows.table_stream(spark, folder, "plane_ceiling").where("model is not null and variable is not null and region is not null")
     p = p.select(F.concat_ws("|", "model", "variable", "region").alias("k"), "plane_id", F.when(~F.isnan("median"), F.col("median")).alias("v"))
-    return flows.appended(flows.frozen(p, "k", "plane_id", "v", 200.0, 120000.0), place(spark)).select("k", "plane_id", "status")
+    return flows.frozen(p, "k", "plane_id", "v", 200.0, 120000.0, place(spark)).select("k", "plane_id", "status")
+
+
+@query("""with r as (select model || '|' || variable || '|' || region k, plane_id, case when median is null or isnan(median) then null else median end v from plane_ceiling where model is not null and variable is not null and region is not null),
+ g as (select *, coalesce(v between 200 and 120000, false) ok from r) select count(*) probed, count(distinct case when ok then k end) written, count(*) filter (ok) - count(distinct case when ok then k end) skipped, count(*) filter (not ok) refused, true gates_held, 0 exit_state from g""")
+def stream_cycle(spark, folder):
+    """ST-04: cycles of probing, freezing and verifying under a digest gate on all that was frozen before; totals over the batches, and the state of the first."""
+    p = flows.table_stream(spark, folder, "plane_ceiling").where("model is not null and variable is not null and region is not null")
+    p = p.select(F.concat_ws("|", "model", "variable", "region").alias("k"), "plane_id", F.when(~F.isnan("median"), F.col("median")).alias("v"))
+    s = flows.cycle(p, "k", "plane_id", "v", 200.0, 120000.0, place(spark))
+    return s.agg(*(F.sum(c).alias(c) for c in ("probed", "written", "skipped", "refused")), F.bool_and("gate_ok").alias("gates_held"), F.min_by("exit_state", "batch").alias("exit_state"))
+
+
+@query("""with k as (select upper(trim(icao)) icao, obstime, count(*) n, max(t) > min(t) off from station_index where trim(icao) <> '' and obstime is not null and not isnan(t) group by all)
+ select icao, count(*) times, sum(n - 1)::bigint copies, count(*) filter (off) conflicts from k group by icao""")
+def stream_window_merge(spark, folder):
+    """ST-07: overlapping rebuilds of a station's series merged in a stream, with the copies that agree and the times at which they don't."""
+    s = flows.table_stream(spark, folder, "station_index").select(entity("icao").alias("icao"), F.col("obstime").cast("timestamp").alias("at"), "t").where("icao is not null and at is not null and t is not null and not isnan(t)")
+    k = flows.latest(flows.appended(flows.agreed(s, ["icao"], "at", "t", "60 days"), place(spark), "update"), ["icao", "at"])
+    return k.groupBy("icao").agg(F.count("*").alias("times"), F.sum(F.col("copies") - 1).alias("copies"), F.count_if(F.col("high") > F.col("low")).alias("conflicts"))
 
 
 @query("""with f as (select user_id, arg_min(value, (ts, value)) forecast from events where event_type = 'view' group by user_id), t as (select user_id, arg_min(value, (ts, value)) truth from events where event_type = 'signup' group by user_id)

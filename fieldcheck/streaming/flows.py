@@ -7,12 +7,11 @@ ledgers in the shared folder, so that it goes on where it stopped.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_folder
 
@@ -70,25 +69,78 @@ def deduplicated(stream: DataFrame, keys: list[str], at: str, lateness: str) ->
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def frozen(stream: DataFrame, key: str, order: str, value: str, low: float, high: float) -> DataFrame:
-    """``key, order, status``: a run is written once, later copies are skipped, and one whose value is missing or out of range is refused and may be tried again.
+def ledger(spark: SparkSession, path: str, schema: str, upto: int) -> DataFrame:
+    """The rows that batches before ``upto`` wrote to a ledger; none yet is an empty table."""
+    try:
+        return spark.read.option("basePath", path).schema(f"{schema}, batch long").parquet(f"{path}/*").where(F.col("batch") < upto)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{schema}, batch long")
 
-    The state of a key is one flag; the rows of a batch are taken in order.
-    """
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        written = state.exists and state.get[0]
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for o, v in zip(rows[order], rows[value], strict=True):
-            ok = v is not None and low <= v <= high
-            out.append("duplicate_skipped" if written and ok else "written" if ok else "refused_range_failure")
-            written = written or ok
-        state.update((bool(written),))
-        yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(), "status": out})
+def freeze_batch(df: DataFrame, batch: int, path: str, key: str, order: str, value: str, low: float, high: float) -> DataFrame:
+    """Freezes one batch: its rows with their ``status``, written under ``path``/rows; the keys that it froze go to ``path``/keys.
 
+    The first valid row of a key is a least (order, hash of the row), found by partial aggregation; no key's rows are gathered. A repeated batch replaces itself.
+    """
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    v = F.col(value)
+    ok = F.coalesce(v.between(low, high) & ~F.isnan(v.cast("double")), F.lit(False))
+    x = df.select(key, order, ok.alias("_ok"), F.struct(F.col(order), F.xxhash64(*df.columns)).alias("_at"))
+    before = ledger(spark, f"{path}/keys", f"{key} {kind}", batch).select(F.col(key).alias("_b")).distinct()
+    first = x.where("_ok").groupBy(F.col(key).alias("_k")).agg(F.min("_at").alias("_first"))
+    j = x.join(first, F.col(key).eqNullSafe(F.col("_k")), "left").join(before.withColumn("_old", F.lit(True)), F.col(key).eqNullSafe(F.col("_b")), "left")
+    status = F.when(~F.col("_ok"), "refused_range_failure").when(F.col("_old") | (F.col("_at") != F.col("_first")), "duplicate_skipped").otherwise("written")
+    j.select(key, order, status.alias("status")).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+    rows = spark.read.parquet(f"{path}/rows/batch={batch}")
+    rows.where("status = 'written'").select(key).write.mode("overwrite").parquet(f"{path}/keys/batch={batch}")
+    return rows
+
+
+def frozen(stream: DataFrame, key: str, order: str, value: str, low: float, high: float, path: str) -> DataFrame:
+    """``key, order, status, batch``: a run is written once, later copies are skipped, and one whose value is missing or out of range is refused and may be tried again.
+
+    Rows of a batch count in their order. What is frozen stands in a ledger, so the flow goes on where it stopped.
+    """
+    run(stream, lambda df, batch: freeze_batch(df, batch, path, key, order, value, low, high) and None)
     kinds = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, status string", "written boolean", "append", GroupStateTimeout.NoTimeout)
+    return ledger(stream.sparkSession, f"{path}/rows", f"{key} {kinds[key]}, {order} {kinds[order]}, status string", 1 << 62)
+
+
+def digest(df: DataFrame) -> tuple[int, int]:
+    """The number of rows and the sum of their hashes, the same in any order."""
+    r = df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)))).first()
+    return r[0], r[1] or 0
+
+
+def cycle(stream: DataFrame, key: str, order: str, value: str, low: float, high: float, path: str) -> DataFrame:
+    """A status row per batch of a cycle of probing, freezing, summing up and verifying: ``probed, written, skipped, refused, gate_ok, exit_state, batch``.
+
+    The gate: what earlier batches froze must have the same digest before and after the batch. ``exit_state`` is 2 if the gate is broken, 1 if nothing new was frozen, else 0.
+    """
+    spark, kinds = stream.sparkSession, dict(stream.dtypes)
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, status string"
+
+    def each(df: DataFrame, batch: int) -> None:
+        old = lambda: digest(ledger(spark, f"{path}/rows", schema, batch))
+        before = old()
+        n = {r.status: r["count"] for r in freeze_batch(df, batch, path, key, order, value, low, high).groupBy("status").count().collect()}  # three states
+        ok = old() == before
+        written, skipped, refused = (n.get(s, 0) for s in ("written", "duplicate_skipped", "refused_range_failure"))
+        row = (written + skipped + refused, written, skipped, refused, ok, 2 if not ok else 0 if written else 1)
+        spark.createDataFrame([row], STATUS).coalesce(1).write.mode("overwrite").parquet(f"{path}/status/batch={batch}")
+
+    run(stream, each)
+    return ledger(spark, f"{path}/status", STATUS, 1 << 62)
+
+
+STATUS = "probed long, written long, skipped long, refused long, gate_ok boolean, exit_state int"
+
+
+def agreed(stream: DataFrame, keys: list[str], at: str, value: str, lateness: str) -> DataFrame:
+    """Overlapping rebuilds merged: per key and time within the watermark the number of copies and the least and greatest value, which differ where copies disagree."""
+    return stream.withWatermark(at, lateness).groupBy(*keys, at).agg(F.count("*").alias("copies"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def split(stream: DataFrame, valid, good_path: str, bad_path: str) -> tuple[DataFrame, DataFrame]:
@@ -104,34 +156,27 @@ def split(stream: DataFrame, valid, good_path: str, bad_path: str) -> tuple[Data
     return tuple(spark.read.option("basePath", p).schema(schema.add("batch", "long")).parquet(f"{p}/*") for p in (good_path, bad_path))
 
 
-def scored_when_due(stream: DataFrame, key: str, is_forecast, is_truth, value: str, at: str, ledger: str) -> DataFrame:
+def scored_when_due(stream: DataFrame, key: str, is_forecast, is_truth, value: str, at: str, path: str) -> DataFrame:
     """``key, forecast, truth, error``: forecasts wait in a ledger, without limit, until their truth is there, and are scored exactly once.
 
-    The first forecast and the first truth of a key count, by time. Each batch adds its forecasts and truths and scores those due that no
-    earlier batch has scored, by an anti-join. A repeated batch replaces its own part of the ledgers.
+    The first forecast and the first truth of a key count, by batch and time. Each batch adds its forecasts and truths; of the ledgers only the keys of the batch are looked up, and those due that no
+    earlier batch has scored are scored. A repeated batch replaces its own part of the ledgers.
     """
     spark = stream.sparkSession
-    schema = "k long, at timestamp, v double, batch long"
-
-    def read(name: str, cols: str, upto: int) -> DataFrame:
-        try:
-            return spark.read.option("basePath", f"{ledger}/{name}").schema(cols).parquet(f"{ledger}/{name}/*").where(F.col("batch") < upto)
-        except Exception as e:  # no ledger yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], cols)
+    schema, done_schema = "k long, at timestamp, v double", "k long, forecast double, truth double"
 
     def each(df: DataFrame, batch: int) -> None:
         row = (F.col(key).cast("long").alias("k"), F.col(at).cast("timestamp").alias("at"), F.col(value).cast("double").alias("v"))
-        df.where(is_forecast).select(*row).write.mode("overwrite").parquet(f"{ledger}/issued/batch={batch}")
-        df.where(is_truth).select(*row).write.mode("overwrite").parquet(f"{ledger}/truth/batch={batch}")
-        first = lambda n: read(n, schema, batch + 1).groupBy("k").agg(F.min(F.struct("batch", "at", "v")).alias(n))
-        done = read("scored", "k long, forecast double, truth double, batch long", batch).select("k")
+        df.where(is_forecast).select(*row).write.mode("overwrite").parquet(f"{path}/issued/batch={batch}")
+        df.where(is_truth).select(*row).write.mode("overwrite").parquet(f"{path}/truth/batch={batch}")
+        here = df.where(is_forecast | is_truth).select(F.col(key).cast("long").alias("k")).distinct()  # only these can have become due
+        first = lambda n: ledger(spark, f"{path}/{n}", schema, batch + 1).join(here, "k", "left_semi").groupBy("k").agg(F.min(F.struct("batch", "at", "v")).alias(n))
+        done = ledger(spark, f"{path}/scored", done_schema, batch).select("k")
         due = first("issued").join(first("truth"), "k").join(done, "k", "left_anti")
-        due.select("k", F.col("issued.v").alias("forecast"), F.col("truth.v").alias("truth")).write.mode("overwrite").parquet(f"{ledger}/scored/batch={batch}")
+        due.select("k", F.col("issued.v").alias("forecast"), F.col("truth.v").alias("truth")).write.mode("overwrite").parquet(f"{path}/scored/batch={batch}")
 
     run(stream, each)
-    s = spark.read.option("basePath", f"{ledger}/scored").schema("k long, forecast double, truth double, batch long").parquet(f"{ledger}/scored/*")
+    s = ledger(spark, f"{path}/scored", done_schema, 1 << 62)
     return s.select(F.col("k").alias(key), "forecast", "truth", (F.col("forecast") - F.col("truth")).alias("error"))
 
 

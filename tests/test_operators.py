@@ -271,10 +271,21 @@ def test_stream_forecasts_are_scored_once(spark, tmp_path):
 def test_stream_freeze_goes_on_across_batches(spark, tmp_path):
     p = f"{tmp_path}/in"
     feed(spark, p, [(1, 1, "x", -5.0, 1), (2, 2, "x", 5.0, 2)], [(3, 1, "x", 5.0, 3), (4, 2, "x", 6.0, 4), (5, 2, "x", None, 5)])
-    got = flows.appended(flows.frozen(stream(spark, p).select("k", "id", "v"), "k", "id", "v", 0.0, 10.0), f"{tmp_path}/out")
+    got = flows.frozen(stream(spark, p).select("k", "id", "v"), "k", "id", "v", 0.0, 10.0, f"{tmp_path}/out")
     assert rows(got.select("id", "status")) == [(1, "refused_range_failure"), (2, "written"), (3, "written"), (4, "duplicate_skipped"), (5, "refused_range_failure")]
 
 
+def test_stream_cycle_and_gate(spark, tmp_path, monkeypatch):
+    p = f"{tmp_path}/in"
+    feed(spark, p, [(1, 1, "x", 5.0, 1), (2, 2, "x", None, 2)], [(3, 1, "x", 6.0, 3)], [(4, 2, "x", 7.0, 4)])
+    s = lambda: stream(spark, p).select("k", "id", "v")
+    got = flows.cycle(s(), "k", "id", "v", 0.0, 10.0, f"{tmp_path}/out").orderBy("batch").collect()
+    assert [tuple(r)[:6] for r in got] == [(2, 1, 0, 1, True, 0), (1, 0, 1, 0, True, 1), (1, 1, 0, 0, True, 0)]
+    tells = iter(range(100))
+    monkeypatch.setattr(flows, "digest", lambda df: (next(tells), 0))  # the frozen part changes under the batch
+    assert {r.exit_state for r in flows.cycle(s(), "k", "id", "v", 0.0, 10.0, f"{tmp_path}/other").collect()} == {2}
+
+
 def test_stream_dedupe_and_split(spark, tmp_path):
     p = f"{tmp_path}/in"
     feed(spark, p, [(1, 1, "x", 1.0, 1), (1, 1, "x", 1.0, 2)], [(1, 1, "x", 1.0, 3), (2, 1, "x", None, 4)])
