@@ -23,8 +23,6 @@ WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter of passage n-grams that every task gets, whatever their number (8 MB); hits are joined exactly afterwards.
 FILTER_BITS = 26
-#: The rarest n-grams of each window that seed an alignment.
-SEEDS = 3
 #: Passages that are compared with a text at once, all of about one length.
 TOGETHER = 50
 
@@ -290,10 +288,10 @@ def alike(texts: DataFrame, key: str, text: str, passages: DataFrame, share: flo
     return texts.select(F.col(key).cast("long"), text).mapInArrow(run, "item_id long, doc_id long, run int, score int, share double")
 
 
-def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, window: int = 12, n: int = 6, least: float | None = None, salts: int = 8) -> DataFrame:
+def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, window: int = 12, n: int = 6, least: float | None = None, salts: int = 8, seeds_each: int = 3) -> DataFrame:
     """``item_id, doc_id, run, score, share``: text-passage pairs that share a rare seed, aligned; with ``least`` also all whose ``share`` reaches it, seed or not.
 
-    Of each run of ``window`` words of a passage the SEEDS n-grams that the fewest texts hold are seeds, so every text that
+    Of each run of ``window`` words of a passage the ``seeds_each`` n-grams that the fewest texts hold are seeds (one is enough for whole runs, more find more edited copies), so every text that
     holds ``window`` consecutive words of a passage holds a seed of it, and common phrases seed nothing where rarer ones stand in the
     window. Texts with a seed are aligned with the passage: ``run`` is the longest run of equal words, ``score`` the local alignment score, ``share`` the
     score over that of a full copy; edited and paraphrased copies score high with short runs. Such copies may hold no seed, so they are only whole with ``least``.
@@ -306,7 +304,7 @@ def leaked(texts: DataFrame, key: str, text: str, items: DataFrame, item: str, p
     held = written(hits.select("doc_id", "sig", F.explode("grams").alias("gram")).join(grams.select("gram").distinct(), "gram"))
     df = held.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = grams.select("item_id", "window_no", "gram").join(df, "gram").groupBy("item_id", "window_no").agg(F.collect_set(F.struct("df", "gram")).alias("s"))  # at most window - n + 1 grams each
-    seeds = ranked.select("item_id", F.explode(F.slice(F.array_sort("s"), 1, SEEDS)).alias("s")).select("item_id", F.col("s.gram").alias("gram")).distinct()
+    seeds = ranked.select("item_id", F.explode(F.slice(F.array_sort("s"), 1, seeds_each)).alias("s")).select("item_id", F.col("s.gram").alias("gram")).distinct()
     pairs = held.select("sig", "gram").distinct().join(seeds, "gram").select("sig", "item_id").distinct()
     bodies = hits.groupBy("sig").agg(F.first("numbers").alias("numbers"))
     full = pairs.join(bodies, "sig").join(passages.withColumnRenamed("numbers", "passage"), "item_id")

@@ -40,7 +40,7 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, folder: str, least: float | None = None) -> DataFrame:
-    return leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage", least=least)
+    return leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage", least=least, seeds_each=1)  # runs of 12 need one seed, and with ``least`` nothing rests on seeds
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
