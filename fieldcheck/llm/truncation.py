@@ -21,21 +21,19 @@ OPEN_MARKUP = r"(?:<[a-zA-Z/!][^<>]*|<|\[/?[a-zA-Z]*(?:=[^\]\s]*)?|&(?:#?[a-zA-Z
 NOTICE = r"^\[[^\[\]]+\]$"
 SEPARATOR = r"^(?:--\s?|_{3,}|-{3,}|—+)\s*$"
 TAGS = r"<[^<>]*>|\[/?[a-zA-Z]+(?:=[^\[\]]*)?\]|&(?:[a-zA-Z]+|#[0-9]+|#x[0-9a-fA-F]+);"
-UNSEEN = r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}]"
-LAST_WORD = r"[\p{L}\p{N}]+[^\p{L}\p{N}\n]*(?=\n|$|\[/quote\]|</(?:p|blockquote)>)"
+UNSEEN = "\u200b\u200c\u200d\ufeff\u00ad"
+LINE_END = r"\n|\[/quote\]|</(?:p|blockquote)>"
 QUOTE_END = r"(?i)</blockquote>|\[/quote\]"
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
 def known_words(texts: DataFrame, text: str, least: int = 2) -> DataFrame:
     """``word, n``: words that stand in at least ``least`` texts, without the last word of each line or quote, which may be cut or a code.
 
     Counted over all texts, words of a text once; partial counts are made before the shuffle, so common words cost one row per task.
     """
-    inner = F.array_distinct(_words(F.regexp_replace(text, LAST_WORD, " ")))
+    w = F.split(F.regexp_replace(F.lower(F.col(text)), LINE_END, " \u0001 "), r"[^\p{L}\p{N}\x01]+")
+    followed = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(~a.isin("", "\u0001") & ~b.isin("", "\u0001"), a))  # null where no word follows
+    inner = F.array_distinct(F.array_compact(followed))
     return texts.where(F.col(text).isNotNull()).select(F.explode(inner).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -102,21 +100,21 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
     tokens and (source, length) are aggregated first.
     """
     t = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), (F.col(author) if author else F.lit(None).cast("string")).alias("author"))
-    body = F.regexp_replace(F.regexp_replace("text", UNSEEN, ""), r"(?:\s|&nbsp;)+$", "")
-    body = F.regexp_replace(body, r"(?:&quot;|&#34;|&#39;|&apos;)$", "'")
-    lines = F.split(body, "\n")
-    last = F.element_at(lines, -1)
+    t = t.withColumn("body", F.rtrim(F.replace(F.translate("text", UNSEEN, ""), F.lit("&nbsp;"), F.lit(" ")), F.lit(" \t\n\x0b\f\r")))
+    body, lines = F.col("body"), F.split(F.substring_index("body", "\n", -4), "\n")  # the lines that can belong to a signature
+    end = F.element_at(lines, -1)
+    last = F.regexp_replace(end, r"(?:&quot;|&#34;|&#39;|&apos;)$", "'")
     n = F.size(lines)
     quoted = F.regexp_extract(last, r"^[>|\s]*", 0)
     unquoted = lambda x: F.substring(x, F.length(quoted) + 1, F.length(x))
-    before = lambda i: F.get(lines, n - 1 - i)
+    before = lambda i: F.when(n > i, F.get(lines, n - 1 - i))
     mark = lambda i: before(i).startswith(quoted) & unquoted(before(i)).rlike(SEPARATOR)
     plain = lambda i: (before(i) != "") & ~before(i).rlike(QUOTE_END)
     signed = F.coalesce((last != "") & (mark(1) | (plain(1) & (mark(2) | (plain(2) & mark(3))))), F.lit(False))
-    head = F.regexp_replace(F.lower(F.array_join(F.slice(lines, 1, F.greatest(n - 1, F.lit(0))), " ")), r"[^\p{L}\p{N}]+", " ")
+    head = F.regexp_replace(F.lower(F.substring(body, F.lit(1), F.length(body) - F.length(end))), r"[^\p{L}\p{N}]+", " ")
     ends = t.select(
         "key", "source", "author", F.length("text").alias("length"), (F.coalesce(body, F.lit("")) == "").alias("blank"), last.alias("last"),
-        signed.alias("signed"), F.xxhash64(F.trim(head)).alias("head"), F.coalesce((n == 1) & last.rlike(NOTICE), F.lit(False)).alias("notice"),
+        signed.alias("signed"), F.xxhash64(F.trim(head)).alias("head"), F.coalesce(~body.contains("\n") & last.rlike(NOTICE), F.lit(False)).alias("notice"),
     )
     last = F.col("last")
     token = F.lower(F.regexp_extract(last, r"((?<![\p{L}\p{N}])[\p{L}\p{N}]+)$", 1))
