@@ -32,9 +32,10 @@ def known_words(texts: DataFrame, text: str, least: int = 2) -> DataFrame:
     Counted over all texts, words of a text once; partial counts are made before the shuffle, so common words cost one row per task.
     """
     w = F.split(F.regexp_replace(F.lower(F.col(text)), LINE_END, " \u0001 "), r"[^\p{L}\p{N}\x01]+")
-    followed = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(~a.isin("", "\u0001") & ~b.isin("", "\u0001"), a))  # null where no word follows
+    after = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
+    followed = F.zip_with("w", after, lambda a, b: F.when(~a.isin("", "\u0001") & ~b.isin("", "\u0001"), a))  # null where no word follows
     inner = F.array_distinct(F.array_compact(followed))
-    return texts.where(F.col(text).isNotNull()).select(F.explode(inner).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return texts.where(F.col(text).isNotNull()).select(w.alias("w")).select(F.explode(inner).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def trie(words: DataFrame, longest: int) -> DataFrame:
@@ -100,7 +101,10 @@ def cut_texts(df: DataFrame, key: str, text: str, source: str, author: str | Non
     tokens and (source, length) are aggregated first.
     """
     t = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), (F.col(author) if author else F.lit(None).cast("string")).alias("author"))
-    t = t.withColumn("body", F.rtrim(F.replace(F.translate("text", UNSEEN, ""), F.lit("&nbsp;"), F.lit(" ")), F.lit(" \t\n\x0b\f\r")))
+    seen = F.replace("text", F.lit("&nbsp;"), F.lit(" "))
+    for c in UNSEEN:
+        seen = F.replace(seen, F.lit(c), F.lit(""))
+    t = t.withColumn("body", F.rtrim(seen, F.lit(" \t\n\x0b\f\r")))
     body, lines = F.col("body"), F.split(F.substring_index("body", "\n", -4), "\n")  # the lines that can belong to a signature
     end = F.element_at(lines, -1)
     last = F.regexp_replace(end, r"(?:&quot;|&#34;|&#39;|&apos;)$", "'")
