@@ -45,14 +45,19 @@ def interval_join(points: DataFrame, at: str, spans: DataFrame, low: str, high:
     return p.join(s, (p["_bin"] == s["_bin"]) & p[at].between(s[low], s[high])).drop("_bin")
 
 
-def pairs_in_group(df: DataFrame, by: list[str], key: str, values: list[str]) -> DataFrame:
-    """Pairs ``key_a < key_b`` of the rows of small groups (cell and hour), with the values of both. For groups bounded by design."""
-    a = df.select(*by, F.col(key).alias("key_a"), *(F.col(v).alias(f"{v}_a") for v in values))
-    b = df.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(key).alias("key_b"), *(F.col(v).alias(f"{v}_b") for v in values))
-    on = F.col("key_a") < F.col("key_b")
+def pairs_in_group(df: DataFrame, by: list[str], key: str, values: list[str], crowded: int = 2000) -> DataFrame:
+    """Pairs ``key_a < key_b`` of the rows of groups (cell and hour), with the values of both.
+
+    The rows of a group of more than ``crowded`` are split into parts by key, each paired with the whole group by a task of its own.
+    """
+    parts = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).select(*by, F.ceil(F.col("_n") / crowded).cast("int").alias("_parts"))
+    split = df.select(*by, key, *values).join(parts, by, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    a = split.select(*by, F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"), F.col(key).alias("key_a"), *(F.col(v).alias(f"{v}_a") for v in values))
+    b = split.select(*(F.col(c).alias(f"_{c}") for c in by), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part_b"), F.col(key).alias("key_b"), *(F.col(v).alias(f"{v}_b") for v in values))
+    on = (F.col("key_a") < F.col("key_b")) & (F.col("_part") == F.col("_part_b"))
     for c in by:
         on = on & (F.col(c) == F.col(f"_{c}"))
-    return a.join(b, on).drop(*(f"_{c}" for c in by))
+    return a.join(b, on).drop("_part", "_part_b", *(f"_{c}" for c in by))
 
 
 def overlap_weights(source: DataFrame, target: DataFrame, width: int) -> DataFrame:

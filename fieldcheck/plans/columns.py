@@ -267,15 +267,21 @@ def flt_box_half_open(spark, folder):
  count(*) filter (lat >= south and lat <= north and case when west > east then lon >= west or lon <= east else lon >= west and lon <= east end) between 1 and count(*) / 2 accepted
  from good, (select area_id, case when west >= 180 then west - 360 else west end west, case when east >= 180 then east - 360 else east end east, south, north from area_boxes where kind = 'box') group by area_id""")
 def flt_seam_box(spark, folder):
-    """FLT-03: boxes across the seam are unions; selections of nothing or over half are refused. The boxes are one array of constants per row set."""
+    """FLT-03: boxes across the seam are unions; selections of nothing or over half are refused. Rows are counted per position first, positions meet the boxes in cells of five degrees."""
     wrap = lambda c: F.when(c >= 180, c - 360).otherwise(c)
     b = table(spark, folder, "area_boxes").where("kind = 'box'").select("area_id", wrap(F.col("west")).alias("west"), wrap(F.col("east")).alias("east"), "south", "north")
-    boxes = b.agg(F.collect_list(F.struct(*b.columns)).alias("boxes"))  # area_boxes has 52 rows, fixed
-    g = good(spark, folder).select("lat", "lon").join(F.broadcast(boxes)).select("lat", "lon", F.explode("boxes").alias("b"))
-    lon, lat, w, e = F.col("lon"), F.col("lat"), F.col("b.west"), F.col("b.east")
-    inside = lat.between(F.col("b.south"), F.col("b.north")) & F.when(w > e, (lon >= w) | (lon <= e)).otherwise((lon >= w) & (lon <= e))
-    n = F.count_if(inside)
-    return g.groupBy("b.area_id").agg(n.alias("n"), F.count("*").alias("total"), ((n >= 1) & (n <= F.count("*") / 2)).alias("accepted"))
+    cell = lambda v, low: F.floor((v + low) / 5).cast("long")
+    cells = lambda a, z: F.sequence(a, z)
+    west, east, last = cell(F.col("west"), 180), cell(F.col("east"), 180), F.lit(72).cast("long")
+    across = F.when(F.col("west") > F.col("east"), F.concat(cells(west, last), cells(F.lit(0).cast("long"), east))).otherwise(cells(west, east))
+    cover = b.withColumn("_q", F.explode(F.array_distinct(across))).withColumn("_r", F.explode(cells(cell(F.col("south"), 90), cell(F.col("north"), 90))))
+    g = good(spark, folder).groupBy("lat", "lon").agg(F.count("*").alias("k")).withColumn("_q", cell(F.col("lon"), 180)).withColumn("_r", cell(F.col("lat"), 90))
+    lon, lat, w, e = F.col("lon"), F.col("lat"), F.col("west"), F.col("east")
+    inside = lat.between(F.col("south"), F.col("north")) & F.when(w > e, (lon >= w) | (lon <= e)).otherwise((lon >= w) & (lon <= e))
+    hit = cover.join(g, ["_q", "_r"]).where(inside).groupBy("area_id").agg(F.sum("k").alias("n"))
+    total = g.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("total")).where("total > 0")  # one row
+    n = F.coalesce("n", F.lit(0))
+    return b.select("area_id").join(hit, "area_id", "left").crossJoin(total).select("area_id", n.alias("n"), "total", ((n >= 1) & (n <= F.col("total") / 2)).alias("accepted"))
 
 
 @query("""select code, min(value) low, max(value) high, count(*) n, count(*) > 0 and min(value) >= -1e5 and max(value) <= 1.2e6 passed from field_readings where value is not null and not isnan(value) and value <> -9999 and abs(value) < 9e36 group by code""")
@@ -288,10 +294,10 @@ def flt_range_guard(spark, folder):
 @query(OBS + """ select v.code, count(*) n, count(*) filter (case domain when 'above_ground' then qnh >= level_hpa when 'land' then elev >= 50 when 'surface' then true end) applicable from good, variables v where qnh is not null and elev is not null group by v.code""")
 def flt_domain_mask(spark, folder):
     """FLT-06: where a variable applies: above ground, over land, everywhere."""
-    v = table(spark, folder, "variables").agg(F.collect_list(F.struct("code", "domain", "level_hpa")).alias("v"))  # 13 rows, fixed
-    g = good(spark, folder).where("qnh is not null and elev is not null").select("qnh", "elev").join(F.broadcast(v)).select("qnh", "elev", F.explode("v").alias("v"))
-    ok = F.when(F.col("v.domain") == "above_ground", F.col("qnh") >= F.col("v.level_hpa")).when(F.col("v.domain") == "land", F.col("elev") >= 50).when(F.col("v.domain") == "surface", True)
-    return g.groupBy("v.code").agg(F.count("*").alias("n"), F.count_if(F.coalesce(ok, F.lit(False))).alias("applicable"))
+    v = table(spark, folder, "variables").select("code", "domain", "level_hpa")  # 13 rows, fixed
+    g = good(spark, folder).where("qnh is not null and elev is not null").groupBy("qnh", (F.col("elev") >= 50).alias("land")).agg(F.count("*").alias("k"))  # rows first become counts per pressure
+    ok = F.when(F.col("domain") == "above_ground", F.col("qnh") >= F.col("level_hpa")).when(F.col("domain") == "land", F.col("land")).when(F.col("domain") == "surface", True)
+    return g.crossJoin(F.broadcast(v)).groupBy("code").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(ok, F.col("k"))), F.lit(0)).alias("applicable"))
 
 
 @query("""with d as (select region, bool_and(not isnan(median) and median < 1e19 and median <> -9999) fixed from plane_ceiling where run < '2014011500' and region is not null and median is not null group by region)
@@ -435,24 +441,18 @@ def set_bag_difference(spark, folder):
 # --- key joins and audits
 
 
-@query("""with a as (select coalesce(hour(ts), -1) h, count(*) n from events where event_type = 'purchase' and user_id % 7 = 0 group by 1), b as (select hour(ts) h, count(*) n from events where event_type = 'signup' and user_id % 5 = 0 group by 1)
+@query("""with a as (select coalesce(hour(ts), -1) h, count(*) n from events where event_type = 'purchase' group by 1), b as (select coalesce(hour(ts), -1) h, count(*) n from events where event_type = 'signup' group by 1)
  select coalesce(a.h, b.h) h, coalesce(a.n, 0) purchases, coalesce(b.n, 0) signups from a full join b on a.h = b.h""")
 def join_full_outer_hist(spark, folder):
     """JOIN-13: two histograms, absent hours as 0."""
-    e = table(spark, folder, "events").withColumn("h", F.hour("ts"))
-    a = e.where("event_type = 'purchase' and user_id % 7 = 0").groupBy("h").agg(F.count("*").alias("a"))
-    b = e.where("event_type = 'signup' and user_id % 5 = 0").groupBy("h").agg(F.count("*").alias("b"))
-    return a.join(b, "h", "full").select("h", F.coalesce("a", F.lit(0)).alias("purchases"), F.coalesce("b", F.lit(0)).alias("signups"))
-
-
-@query()
-def join_full_outer_hist_all(spark, folder):
-    """JOIN-13: the two histograms over all users; ``join_full_outer_hist`` keeps to some, which its SQL fixes."""
     e = table(spark, folder, "events").withColumn("h", F.coalesce(F.hour("ts"), F.lit(-1)))
     a, b = (e.where(F.col("event_type") == k).groupBy("h").agg(F.count("*").alias(k)) for k in ("purchase", "signup"))
     return a.join(b, "h", "full").select("h", F.coalesce("purchase", F.lit(0)).alias("purchases"), F.coalesce("signup", F.lit(0)).alias("signups"))
 
 
+QUERIES["join_full_outer_hist_all"], ORACLE["join_full_outer_hist_all"] = join_full_outer_hist, ORACLE["join_full_outer_hist"]  # name of the last round, the same work
+
+
 @query("""select v.code, v.name, count(r.reading_id) n, count(r.reading_id) > 0 present from variables v left join (select * from field_readings where source = 'arcus' and value is not null) r on r.code = v.code group by all""")
 def join_registry_presence(spark, folder):
     """JOIN-12, SRC-17: a registry against what is there."""

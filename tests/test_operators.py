@@ -319,3 +319,9 @@ def test_unit_guard_raises(spark):
     assert rows(guarded_celsius(df, "id", "v", "u")) == [(1, 26.85), (2, 20.0)]
     with pytest.raises(Exception, match="unknown unit"):
         guarded_celsius(df.unionByName(spark.createDataFrame([(3, 70.0, "F")], df.schema)), "id", "v", "u").collect()
+
+
+def test_crowded_groups_pair_the_same(spark):
+    df = spark.createDataFrame([(g, f"k{i}", float(i)) for g in (1, 2) for i in range(25)] + [(None, "x", 1.0), (3, "y", 2.0)], "g int, k string, v double")
+    want = rows(joins.pairs_in_group(df, ["g"], "k", ["v"]))
+    assert len(want) == 2 * 25 * 24 // 2 and rows(joins.pairs_in_group(df, ["g"], "k", ["v"], crowded=4)) == want
