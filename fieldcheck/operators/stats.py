@@ -21,13 +21,13 @@ def exact_percentiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str,
     No group is ever held. Values are counted in bins of a logarithm with sign, at most some ten thousand a group whatever its size; a running
     sum over the bins tells in which ones the ranks fall. Bins of more than ``few`` rows are cut into 4,096 equal parts once more. Only rows in the bins
     of a rank are then counted value by value. ``weight`` says how often a row counts. Null, NaN and infinite values are left out; a group
-    without others has no row; null groups are a group. Groups, fields and ranks are few columns, written once and read three times.
+    without others has no row; null groups are a group. ``df`` is read three times: a table, or what was ``written``.
     """
     fields = sorted({f for f, _ in wanted.values()})
     g = F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(0).alias("_"))
     w = (F.col(weight) if weight else F.lit(1)).cast("long")
     base = df.select(g.alias("g"), w.alias("w"), F.inline(F.array(*(F.struct(F.lit(f).alias("f"), clean(F.col(f).cast("double")).alias("v")) for f in fields)))).where("v is not null")
-    base = written(base.withColumn("b", F.floor(F.signum("v") * F.log1p(F.least(F.abs("v") * 1e6, F.lit(1e308))) * 32).cast("int")))
+    base = base.withColumn("b", F.floor(F.signum("v") * F.log1p(F.least(F.abs("v") * 1e6, F.lit(1e308))) * 32).cast("int"))
 
     def ranked(bins: DataFrame, keys: list[str], order: str, ranks: Column | None) -> DataFrame:
         """The bins that hold a rank: with their least and greatest value, the count before them and the ranks in them."""
