@@ -31,6 +31,15 @@ P3 = f"with {READING}, {SOUNDING} select 'reading' src, reading_id record_id fro
 P3_CONVERTED = f"""with {READING}, scales(q, u, f, o) as (values {_scales}) select reading_id, code, source, recorded recorded_unit, target unit,
  ((((number * a.f + a.o) / case when recorded in ('J m-2', 'kJ m-2') and target not in ('J m-2', 'kJ m-2') then accum_hours * 3600.0 else 1 end) - b.o) / b.f) as "value"
  from r join scales a on a.q = r.q and a.u = recorded join scales b on b.q = r.q and b.u = target"""
+P3_CONVERTED_ALL = f"""with {READING}, {SOUNDING}, scales(q, u, f, o) as (values {_scales}),
+ su as (select coalesce(source, '?') source, min(stated) u from s0 where n > 0 group by all),
+ sr as (select sounding_id, su.source, coalesce(stated, u, 'cK') recorded from s0 join su on su.source = coalesce(s0.source, '?') where n > 0),
+ sa as (select sounding_id, unnest(soundings) a, generate_subscripts(soundings, 1) - 1 ascent_no from soundings),
+ sl as (select sounding_id, ascent_no, unnest(a.t) t, generate_subscripts(a.t, 1) - 1 level_no from sa)
+ select 'reading' src, reading_id record_id, -1 ascent_no, -1 level_no, code, coalesce(source, '?') source, recorded recorded_unit, target unit,
+ ((((number * a.f + a.o) / case when recorded in ('J m-2', 'kJ m-2') and target not in ('J m-2', 'kJ m-2') then accum_hours * 3600.0 else 1 end) - b.o) / b.f) as "value"
+ from r join scales a on a.q = r.q and a.u = recorded join scales b on b.q = r.q and b.u = target
+ union all select 'sounding', sounding_id, ascent_no, level_no, 't', source, recorded, 'K', t * f + o from sl join sr using (sounding_id) join scales on q = 'temperature' and scales.u = recorded where t is not null and t <> -32768"""
 
 _km = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
 _wrap = "((({0} + 180) % 360 + 360) % 360 - 180)"
@@ -80,4 +89,4 @@ P7_HOURLY = f"""with {METAR}, g as (select icao, us // 3600000000 h, avg(t) v fr
  x as (select need.icao, need.h, a.h h0, a.v v0, b.h h1, b.v v1 from need asof left join g a on a.icao = need.icao and need.h >= a.h asof left join g b on b.icao = need.icao and need.h <= b.h)
  select icao, strftime(make_timestamp(h * 3600000000), '%Y-%m-%dT%H') as "hour", round(case when h0 = h then v0 when h1 - h0 <= 4 then v0 + (v1 - v0) * (h - h0) / (h1 - h0) end, 4) t, case when h0 = h then 'observed' when h1 - h0 <= 4 then 'interpolated' else 'missing' end state from x"""
 
-ORACLE = {"p5_metars": P5_METARS, "p5_ascents": P5_ASCENTS, "p5_levels": P5_LEVELS, "p7_hourly": P7_HOURLY, "p3_found": P3, "p3_converted": P3_CONVERTED, "p4_found": P4, "p5_found": P5, "p7_found": P7}
+ORACLE = {"p5_metars": P5_METARS, "p5_ascents": P5_ASCENTS, "p5_levels": P5_LEVELS, "p7_hourly": P7_HOURLY, "p3_found": P3, "p3_converted": P3_CONVERTED, "p3_converted_all": P3_CONVERTED_ALL, "p4_found": P4, "p5_found": P5, "p7_found": P7}

@@ -70,6 +70,15 @@ def p3_converted(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("reading_id", "code", "source", "recorded_unit", F.col("target").alias("unit"), ((((F.col("number") * f + o) / rate) - ot) / ft).alias("value"))
 
 
+def p3_converted_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of both tables: readings as ``p3_converted`` has them (positions -1), and each t of a level in kelvin (``ascent_no, level_no`` 0-based). A source without name is ``?``."""
+    none = F.lit(-1)
+    readings = p3_converted(spark, folder).select(F.lit("reading").alias("src"), F.col("reading_id").alias("record_id"), none.alias("ascent_no"), none.alias("level_no"), "code", F.coalesce("source", F.lit("?")).alias("source"), "recorded_unit", "unit", "value")
+    levels = profiles(spark, folder).select("*", F.posexplode("t").alias("level_no", "v")).where("v is not null and v <> -32768")
+    kelvin = (F.col("v") * F.col("factor") + F.col("offset")).alias("value")
+    return readings.unionByName(levels.select(F.lit("sounding").alias("src"), "record_id", "ascent_no", "level_no", F.lit("t").alias("code"), "source", "recorded_unit", F.lit("K").alias("unit"), kelvin))
+
+
 def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
     """The segments of each source history of readings without stated unit."""
     _, h = readings_in_units(spark, folder)
@@ -192,15 +201,15 @@ LEVEL_RISK = 1e-8
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Ascents with the scale of t to kelvin, one row per ascent."""
+    """Ascents with the recorded unit of t and its scale to kelvin, one row per ascent."""
     _, history = soundings_in_units(spark, folder)
     day = F.coalesce(F.unix_date(F.substring(F.get("soundings", F.lit(0))["time"], 1, 10).try_cast("date")), F.lit(-1)).cast("long")
     levels = F.transform("soundings", lambda x: F.struct(x["p"].alias("p"), x["t"].alias("t"), x["z"].alias("z")))
     s = table(spark, folder, "soundings").select("sounding_id", F.coalesce("source", F.lit("?")).alias("source"), F.lit("t").alias("code"), day.alias("day"), unit_in_remarks(F.col("remarks")).alias("stated"), levels.alias("levels"))
-    s = with_units(s, history, "source", "code", "day", "stated")
-    factor, offset = scale_of(F.lit("temperature"), F.coalesce("recorded_unit", F.lit("cK")))
-    return s.select(F.col("sounding_id").alias("record_id"), "source", factor.alias("factor"), offset.alias("offset"), F.posexplode("levels").alias("ascent_no", "a")).select(
-        "record_id", "ascent_no", "source", "factor", "offset", "a.p", "a.t", "a.z"
+    s = with_units(s, history, "source", "code", "day", "stated").withColumn("recorded_unit", F.coalesce("recorded_unit", F.lit("cK")))
+    factor, offset = scale_of(F.lit("temperature"), F.col("recorded_unit"))
+    return s.select(F.col("sounding_id").alias("record_id"), "source", "recorded_unit", factor.alias("factor"), offset.alias("offset"), F.posexplode("levels").alias("ascent_no", "a")).select(
+        "record_id", "ascent_no", "source", "recorded_unit", "factor", "offset", "a.p", "a.t", "a.z"
     )
 
 
@@ -249,4 +258,4 @@ def p7_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(spark, folder).select(F.col("key").alias("icao"), F.date_format(F.timestamp_seconds("slot"), "yyyy-MM-dd'T'HH").alias("hour"), F.round("value", 4).alias("t"), "state")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_converted, p3_segments, p3_switched, p4_found, p5_found, p5_levels, p5_ascents, p5_metars, p6_found, p6_tails, p7_found, p7_hourly)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_converted, p3_converted_all, p3_segments, p3_switched, p4_found, p5_found, p5_levels, p5_ascents, p5_metars, p6_found, p6_tails, p7_found, p7_hourly)}

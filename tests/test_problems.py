@@ -89,6 +89,27 @@ def test_changepoints_decide_units(spark, monkeypatch, one_segment):
     assert wrong == ({"a", "b", "c", "e"} if one_segment else set())
 
 
+def test_both_tables_are_converted(spark, tmp_path):
+    """Levels come out in kelvin beside the readings: by their remarks, by what the source states elsewhere, or as kelvin x 100; missing ones don't."""
+    from fieldcheck.plans.problems import QUERIES
+
+    spark.createDataFrame([("tsf", "K", "K")], "code string, units string, training_units string").write.parquet(f"{tmp_path}/variables.parquet")
+    reading = "reading_id long, code string, source string, icao string, valid_time timestamp, value double, value_text string, unit string, note string, accum_hours int"
+    spark.createDataFrame([(1, "tsf", "a", "X", None, 10.0, None, "degC", None, None)], reading).write.parquet(f"{tmp_path}/field_readings.parquet")
+    ascent = lambda t: ("2014-01-08T00:00:00Z", None, [90000, 80000], t, [0, 900])
+    data = [
+        (1, "far", "T: C*10", [ascent([100, -32768, None]), None, ascent([-50])]), (2, "far", None, [ascent([20])]), (3, "plain", None, [ascent([28000, 27000])]), (4, None, "t 0.1 K", [ascent([2700])]),
+        (5, "plain", None, [ascent([None]), ascent(None), ascent([])]), (6, "plain", None, None),
+    ]
+    spark.createDataFrame(data, "sounding_id long, source string, remarks string, soundings array<struct<time string, n int, p array<int>, t array<int>, z array<int>>>").write.parquet(f"{tmp_path}/soundings.parquet")
+    df = QUERIES["p3_converted_all"](spark, str(tmp_path))
+    got = {(r.src, r.record_id, r.ascent_no, r.level_no): (r.code, r.source, r.recorded_unit, r.unit, round(r.value, 6)) for r in df.collect()}
+    assert got == {
+        ("reading", 1, -1, -1): ("tsf", "a", "C", "K", 283.15), ("sounding", 1, 0, 0): ("t", "far", "dC", "K", 283.15), ("sounding", 1, 2, 0): ("t", "far", "dC", "K", 268.15), ("sounding", 2, 0, 0): ("t", "far", "dC", "K", 275.15),
+        ("sounding", 3, 0, 0): ("t", "plain", "cK", "K", 280.0), ("sounding", 3, 0, 1): ("t", "plain", "cK", "K", 270.0), ("sounding", 4, 0, 0): ("t", "?", "dK", "K", 270.0),
+    } and df.count() == len(got)
+
+
 def test_unit_text(spark):
     df = spark.createDataFrame([("about 27561,6 cK", "log sheet 4, in Hg", "x; T: 0.1 deg F"), ("-1.5e-3m/s", "tsf in K", "operator change"), (None, None, None), ("", "ok", "t 0.1 K")], "a string, b string, c string")
     got = df.select(number_in(F.col("a")), unit_in_note(F.col("b"), F.lit("tsf")), unit_in_remarks(F.col("c")), spelled(F.lit("pressure"), F.lit("IN Hg"))).collect()
