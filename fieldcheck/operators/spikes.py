@@ -1,8 +1,8 @@
 """Implausible spikes, stuck values and impossible readings, relative to each source's normal behaviour.
 
-Residuals from the local middle follow season and time of day, so what is left is the source's own scatter. Peaks over a
-threshold of it are described per source by a generalised Pareto distribution; the size that it passes at a fixed
-risk is the source's cutoff. Cutoffs pick the candidates, which are then held against their surroundings.
+Residuals from the local middle follow season and time of day, so what is left is the source's own scatter. In series a fixed
+multiple of it is the limit. For levels, peaks over a threshold of it are described per source by a generalised Pareto distribution;
+the size that it passes at a fixed risk is the source's cutoff, against which levels are held in their surroundings.
 """
 
 from __future__ import annotations
@@ -98,13 +98,12 @@ def residual_sizes(residuals: DataFrame) -> DataFrame:
     return residuals.groupBy("key", F.abs("residual").alias("size")).agg(F.count("*").alias("n"), F.sum((F.col("value") == F.round("value")).cast("long")).alias("whole"), F.sum(F.col("first").cast("long")).alias("times"))
 
 
-def spikes_in_series(df: DataFrame, key: str, time: str, value: str, day_len: int, low: float, high: float, factor: float = 8.0, least: tuple[float, float] = (0.3, 0.74), stuck: tuple[int, int] = (12, 48), whole_share: float = 0.9, min_times: int = 40, risk: float = 1e-3) -> DataFrame:
+def spikes_in_series(df: DataFrame, key: str, time: str, value: str, day_len: int, low: float, high: float, factor: float = 8.0, least: tuple[float, float] = (0.3, 0.74), stuck: tuple[int, int] = (12, 48), whole_share: float = 0.9, min_times: int = 40) -> DataFrame:
     """Distinct ``key, time, value`` of readings that are impossible, stuck or spikes, for keys with ``min_times`` distinct times.
 
-    Candidates for spikes are residuals from the local median of seven beyond their key's tail cutoff. One is a spike if it departs by more than ``factor`` times the key's usual departure, 1.4826 times
+    A reading is a spike if it departs from the local median of seven by more than ``factor`` times the key's usual departure, 1.4826 times
     its median absolute departure but at least ``least``; the second values of ``least`` and ``stuck`` hold for keys of which the share
-    ``whole_share`` of readings are whole numbers. The tail is fitted to residuals up to that limit, as a normal reading's never is beyond it, so the quantile of the truncated
-    tail stays below it for any source. A run of ``stuck`` successive equal values is stuck throughout.
+    ``whole_share`` of readings are whole numbers. A run of ``stuck`` successive equal values is stuck throughout.
     Readings without three others on either side are no spikes, but may be impossible or stuck.
     Repeated rows count once. Null keys, times and values are left out; an empty table gives no rows.
     """
@@ -114,20 +113,9 @@ def spikes_in_series(df: DataFrame, key: str, time: str, value: str, day_len: in
     stats = hist.groupBy("key").agg((F.sum("whole") / F.sum("n") >= whole_share).alias("whole"), F.sum("times").alias("times")).where(F.col("times") >= min_times).join(known, "key", "left")
     usual = F.greatest(F.coalesce(F.lit(1.4826) * F.col("mad"), F.lit(0.0)), F.when(F.col("whole"), least[1]).otherwise(least[0]))
     stats = stats.select("key", (factor * usual).alias("limit"), F.when(F.col("whole"), stuck[1]).otherwise(stuck[0]).alias("stuck"))
-    normal = hist.join(stats, "key").where(F.col("size") <= F.col("limit")).select("key", "size", "n", "limit")
-    fit = tail_cutoffs(normal, ["key"], "size", "n", risk, trim=None)
-    # Quantile of the tail truncated at the limit: the mass beyond the limit is no normal reading's.
-    x = fit.join(stats, "key", "right")
-    bent = F.when(F.col("shape") > 1e-6, F.col("shape"))
-    over = (F.col("limit") - F.col("threshold")) / F.when(F.col("scale") > 0, F.col("scale"))
-    tail = F.coalesce(F.pow(1 + bent * over, -1 / bent), F.exp(-over), F.lit(0.0))
-    survive = tail + (1 - tail) * F.least(F.lit(risk) / F.greatest(F.lit(0.1), F.lit(risk)), F.lit(1.0))
-    size = F.coalesce(F.col("scale") / bent * (F.pow(survive, -bent) - 1), -F.col("scale") * F.ln(survive), F.lit(0.0))
-    cut = x.select("key", "limit", "stuck", F.coalesce(F.col("threshold") + size, F.lit(0.0)).alias("cutoff"))
     off = (F.col("value") < low) | (F.col("value") > high)
     some = r.where(off | (F.col("run") >= min(stuck)) | (F.abs("residual") > factor * min(least)))
-    beyond = (F.abs("residual") >= F.col("cutoff")) & (F.abs("residual") > F.col("limit"))
-    return some.join(cut, "key").where(off | (F.col("run") >= F.col("stuck")) | beyond).select("key", "time", "value").distinct()
+    return some.join(stats, "key").where(off | (F.col("run") >= F.col("stuck")) | (F.abs("residual") > F.col("limit"))).select("key", "time", "value").distinct()
 
 
 # --- profiles

@@ -216,6 +216,16 @@ def test_spikes_in_series(spark):
     assert spikes.spikes_in_series(df.where("false"), "key", "time", "value", 86400, -90, 60).count() == 0
 
 
+def test_rule_alone_decides_series(spark):
+    """A seventh of the readings lie just within the limit of 8 usual departures, one just beyond it; what the usual ones are like mustn't hide that one."""
+    values = [0.0, 0.2096, -0.2096, 0.2096, -0.2096, 2.4859, -0.2096] * 20  # the limit is 8 * 1.4826 * 0.2096 = 2.48602
+    values[75] = 2.488
+    series = [(3600 * i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame([("A", *x) for x in series], "key string, time long, value double")
+    got = rows(spikes.spikes_in_series(df, "key", "time", "value", 86400, -90, 60))
+    assert got == [("A", *x) for x in brute(series)] == [("A", 3600 * 75, 2.488)]
+
+
 def test_tail_cutoffs(spark):
     rng = np.random.default_rng(1)
     x = np.round(np.abs(rng.exponential(1.0, 200_000)), 3)
